@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from refrain.llm.common import gapless, materialise
 
 #: Distinct words whose ids a Python worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 
 
 class CapacityTree:
@@ -105,7 +105,12 @@ def _encoder(tokenizer_json: str):
     import regex
     from tokenizers import Tokenizer
 
-    tokenizer, memo, parts = Tokenizer.from_str(tokenizer_json), {}, {}
+    class Memo(dict):
+        def __missing__(self, word: bytes) -> bytes:
+            found = self[word] = word_ids(word)
+            return found
+
+    tokenizer, memo, parts = Tokenizer.from_str(tokenizer_json), Memo(), {}
     model, made = tokenizer.model, json.loads(tokenizer_json)
     split_by, byte_level = ([*((made["pre_tokenizer"] or {}).get("pretokenizers") or []), {}, {}])[:2]
     kinds = [x["type"] for x in (made["normalizer"] or {}).get("normalizers") or []]
@@ -117,29 +122,33 @@ def _encoder(tokenizer_json: str):
     # Bytes that print stand for themselves, the others for the code points from 256 on: the published byte-level alphabet.
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    alphabet = [chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)]
+    alphabet = {b: 256 + i for i, b in enumerate(hidden)}
 
     def part_ids(part: str) -> bytes:
         found = parts.get(part)
         if found is None:
             if len(parts) > MEMO_WORDS:
                 parts.clear()
-            found = parts[part] = np.array([x.id for x in model.tokenize("".join(alphabet[b] for b in part.encode()))], "<u4").tobytes()
+            shown = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(alphabet)
+            found = parts[part] = b"".join([x.id.to_bytes(4, "little") for x in model.tokenize(shown)])
         return found
 
     def word_ids(word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
-        if short and plain(text) and not any(x in text for x in special):
-            return b"".join(map(part_ids, find(text.lower())))
+        if short and plain(text):
+            # Letters, or letters and one mark after them, need no splitter.
+            if text.isalpha():
+                return part_ids(text.lower())
+            if text[:-1].isalpha() and text[-1] in ".,":
+                return part_ids(text[:-1].lower()) + part_ids(text[-1])
+            if not any(x in text for x in special):
+                return b"".join([part_ids(x) for x in find(text.lower())])
         return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(text: str) -> bytes:
         words = text.encode("utf-8", "surrogatepass").split()
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = word_ids(w)
         return b"".join(map(memo.__getitem__, words))
 
     return encode
