@@ -38,6 +38,15 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents")).withColumnsRenamed({"doc": "doc_id", "other": "other_id"})
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from refrain.llm.sentencepiece_unigram import encode, load
+
+    out = encode(table(spark, sf_dir, "documents"), load(public_tokenizers.path("piece_bpe_32k.model")))
+    return out.withColumn("n_pieces", F.size("ids").cast("long"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from refrain.llm.line_dedup import clean_lines
 
