@@ -1,5 +1,6 @@
 """Language ID by compression: the language whose zstandard raw-content dictionary makes a text smallest.
 
+Texts are compared as lower-case letters, every run of other characters being one space, so capitals and marks don't count.
 Learned from a bounded sample: for each language about SAMPLE_TEXTS texts chosen by a hash of the id, and of these SAMPLE_BYTES
 bytes in all. A dictionary is such raw content; nothing is trained beyond that. A whole text is compressed in pieces of PIECE bytes,
 each with every dictionary, and the sizes are summed: in a long text the dictionary then counts to the end. The margin is how much
@@ -38,7 +39,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[st
     for lang, n in counts.items():
         part = F.when(F.col("lang") == lang, F.lit(min(2**30, math.ceil(2**30 * 1.2 * SAMPLE_TEXTS / n)))).otherwise(part)
     mark = F.pmod(F.xxhash64("doc", F.lit("language sample")), F.lit(2**30))
-    chosen = rows.where(mark < part).select("lang", mark.alias("mark"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    chosen = rows.where(mark < part).select("lang", mark.alias("mark"), F.substring(letters(F.col("text")), 1, SAMPLE_CHARS).alias("text"))
     out: dict[str, list[bytes]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["mark"], r["text"])):
         out.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "surrogatepass"))
@@ -50,6 +51,10 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[st
     return contents
 
 
+def letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"\P{L}+", " ")
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
@@ -89,7 +94,7 @@ def classify(docs: DataFrame, contents: dict[str, bytes], id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())], names=out_names)
 
     text = F.col(text_col).cast("string")
-    picked = docs.select(F.col(id_col), *(c.alias(k) for k, c in (carry or {}).items()), text.alias("_text"), has_letter(text).alias("_letter"))
+    picked = docs.select(F.col(id_col), *(c.alias(k) for k, c in (carry or {}).items()), letters(text).alias("_text"), has_letter(text).alias("_letter"))
     out_names = [*picked.columns[:-2], "lang_pred", "score", "margin", "rejected"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-2])
     return picked.mapInArrow(run, f"{kinds}, lang_pred string, score double, margin double, rejected boolean")
