@@ -98,6 +98,15 @@ class Vocabulary:
         self.scores = [s for _, _, s in pieces]
         self.ids = [i for i, _, _ in pieces]
         self.lengths = [len(p.encode()) for _, p, _ in pieces]
+        joined = [[False] * 256 for _ in range(256)]
+        for _, p, _ in pieces:
+            raw = p.encode()
+            for a, b in zip(raw, raw[1:], strict=False):
+                joined[a][b] = True
+        self._joined = joined
+        # Room past the end, so that a step from any state stays inside.
+        base, check, value = (np.array([*x, *[fill] * 260], np.int64) for x, fill in ((self.trie.base, 0), (self.trie.check, -2), (self.trie.value, -1)))
+        self._arrays = base, check, value, np.array(self.scores, np.int64), np.array(self.ids, np.int64)
         self.bytes_of = {i: p.encode() for i, p, _ in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
     def viterbi(self, unit: bytes, literal: frozenset[int] = frozenset()) -> tuple[int, list[int]]:
@@ -134,31 +143,87 @@ class Vocabulary:
             at = start
         return best[n], out[::-1]
 
+    def parts(self, unit: bytes) -> list[bytes]:
+        """A unit cut where no piece has the two bytes beside the cut next to each other: every path has an end there."""
+        joined, cuts = self._joined, [0]
+        cuts += [i for i in range(1, len(unit)) if (unit[i] & 0xC0) != 0x80 and not joined[unit[i - 1]][unit[i]]]
+        return [unit[i:j] for i, j in zip(cuts, [*cuts[1:], len(unit)], strict=True)]
+
+    def viterbi_many(self, units: list[bytes]) -> list[list[int]]:
+        """The best paths of many units: the same as viterbi() gives one by one, with the trie walked for all units at once."""
+        out: list[list[int]] = [[]] * len(units)
+        sizes = np.array([len(u) for u in units], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        base, check, value, scores, ids = self._arrays
+        for rows in np.split(order, np.arange(4096, len(order), 4096)):
+            lengths = sizes[rows]
+            width = int(lengths[-1]) if len(rows) else 0
+            if width * len(rows) > 1 << 24:  # very long units go one by one
+                for r in rows.tolist():
+                    out[r] = self.viterbi(units[r])[1]
+                continue
+            m = len(rows)
+            text = np.zeros((m, width + 1), np.int64)
+            for k, r in enumerate(rows.tolist()):
+                text[k, : lengths[k]] = np.frombuffer(units[r], np.uint8)
+            least = -(10**18)
+            best, back, piece_of = np.full((width + 1, m), least, np.int64), np.zeros((width + 1, m), np.int64), np.full((width + 1, m), -2, np.int64)
+            best[0] = 0
+            text = np.ascontiguousarray(text.T)
+            for i in range(width):
+                live = np.flatnonzero((best[i] > least) & (lengths > i))
+                here, at, state, j = best[i], live, np.zeros(len(live), np.int64), i
+                while len(at) and j < width:
+                    to = base[state] + text[j, at] + 1
+                    ok = (check[to] == state) & (lengths[at] > j)
+                    at, state, j = at[ok], to[ok], j + 1
+                    found = value[state]
+                    good = found >= 0
+                    w, found = at[good], found[good]
+                    s = here[w] + scores[found]
+                    good = s > best[j, w]
+                    w = w[good]
+                    best[j, w], back[j, w], piece_of[j, w] = s[good], i, ids[found[good]]
+                lead = live[(text[i, live] & 0xC0) != 0x80]
+                first = text[i, lead]
+                n = 1 + (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
+                end = np.minimum(i + n, lengths[lead])
+                s = here[lead] + BYTE_SCORE * (end - i)
+                good = s > best[end, lead]
+                w, end = lead[good], end[good]
+                best[end, w], back[end, w], piece_of[end, w] = s[good], i, -2
+            back_rows, piece_rows = back.T.tolist(), piece_of.T.tolist()
+            for k, r in enumerate(rows.tolist()):
+                path, at, unit = [], int(lengths[k]), units[r]
+                while at:
+                    start, piece = back_rows[k][at], piece_rows[k][at]
+                    if piece == -2:
+                        path.extend(self.byte_ids[x] for x in reversed(unit[start:at]))
+                    else:
+                        path.append(piece)
+                    at = start
+                out[r] = path[::-1]
+        return out
+
     def encoder(self):
-        """text -> ids as bytes (little-endian unsigned 32-bit)."""
+        """texts -> for each, its ids as bytes (little-endian unsigned 32-bit)."""
         import regex
 
-        vocabulary = self
-
-        def solve(unit: bytes) -> bytes:
-            return np.array(vocabulary.viterbi(unit)[1], "<u4").tobytes()
-
-        class Memo(dict):
-            def __missing__(self, unit: bytes) -> bytes:
-                # Spaces before a word are markers; so is the one before the text.
-                found = self[unit] = solve(unit.replace(b" ", _MARK))
-                return found
-
-        memo = Memo()
+        memo: dict[bytes, bytes] = {}
+        solved: dict[bytes, bytes] = {}
         units = regex.compile(rb" *[^ ]+| +").findall
 
+        def learn(fresh: list[bytes]) -> None:
+            # Spaces before a word are markers; so is the one before the text.
+            cut = [self.parts(u.replace(b" ", _MARK)) for u in fresh]
+            unknown = list({p for ps in cut for p in ps if p not in solved})
+            solved.update((u, np.array(x, "<u4").tobytes()) for u, x in zip(unknown, self.viterbi_many(unknown), strict=True))
+            memo.update((u, b"".join([solved[p] for p in ps])) for u, ps in zip(fresh, cut, strict=True))
+
         def with_literal(text: str) -> bytes:
             # A text that holds the marker itself: its places are kept from the pieces.
             out = []
             for unit in units(b" " + text.encode("utf-8", "surrogatepass")):
-                if _MARK not in unit:
-                    out.append(memo[unit])
-                    continue
                 raw, places, at = bytearray(), set(), 0
                 while at < len(unit):
                     if unit.startswith(_MARK, at):
@@ -168,24 +233,27 @@ class Vocabulary:
                     else:
                         raw += _MARK if unit[at] == 32 else unit[at : at + 1]
                         at += 1
-                out.append(np.array(vocabulary.viterbi(bytes(raw), frozenset(places))[1], "<u4").tobytes())
+                out.append(np.array(self.viterbi(bytes(raw), frozenset(places))[1], "<u4").tobytes())
             return b"".join(out)
 
-        def encode(text: str) -> bytes:
-            if not text:
-                return b""
+        def encode(texts: list[str]) -> list[bytes]:
+            split = [units(b" " + t.encode("utf-8", "surrogatepass")) if t and MARKER not in t else None for t in texts]
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-            if MARKER in text:
-                return with_literal(text)
-            return b"".join(map(memo.__getitem__, units(b" " + text.encode("utf-8", "surrogatepass"))))
+            if len(solved) > MEMO_WORDS:
+                solved.clear()
+            fresh = {u for us in split if us for u in us if u not in memo}
+            if fresh:
+                learn(list(fresh))
+            return [b"".join(map(memo.__getitem__, us)) if us else with_literal(t) if t else b"" for us, t in zip(split, texts, strict=True)]
 
         return encode
 
     def decoder(self):
         """ids -> text."""
         # A byte piece may be part of a literal marker, so spaces are told apart by what a piece is, before bytes are joined.
-        plain = {i: (b if i in set(self.byte_ids) else b.replace(_MARK, b" ")) for i, b in self.bytes_of.items()}
+        of_bytes = set(self.byte_ids)
+        plain = {i: (b if i in of_bytes else b.replace(_MARK, b" ")) for i, b in self.bytes_of.items()}
 
         def decode(ids) -> str:
             raw = b"".join(map(plain.__getitem__, ids))
@@ -217,13 +285,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     def run(batches):
         own = Vocabulary(pieces, byte_ids)
-        encode_one, decode = own.encoder(), own.decoder()
+        encode_texts, decode = own.encoder(), own.decoder()
         is_byte = np.zeros(max(own.bytes_of) + 1, bool)
         is_byte[byte_ids] = True
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 texts = batch.column(1).slice(lo, 500).to_pylist()
-                raw = [None if t is None else np.frombuffer(encode_one(t), "<u4") for t in texts]
+                raw = [None if t is None else np.frombuffer(x, "<u4") for t, x in zip(texts, encode_texts([t or "" for t in texts]), strict=True)]
                 offsets = np.zeros(len(raw) + 1, np.int32)
                 np.cumsum([0 if x is None else len(x) for x in raw], out=offsets[1:])
                 flat = np.concatenate([x for x in raw if x is not None] or [np.zeros(0, "<u4")]).astype(np.int32)
