@@ -1,9 +1,458 @@
-"""The registered queries of the phrase-reference engine and their SQL."""
+"""The registered queries of the phrase-reference engine and their SQL, each over whole tables.
 
+documents are the corpus, sentences of benchmark the anchors, labels the labels, conversations the scripts, pages the web pages.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from refrain.functions import measures as M
+from refrain.functions import text as T
+from refrain.operators import corpus, features, metrics, splits
+from refrain.plans import detect as D
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+_PUNCT = "'" + r"""[."\-,*)(!?#&%$@;:_~\^+=/\n]""" + "'"
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
+
+
+def _sents(table: str, key: str) -> str:
+    """SQL for the normalised sentences of a table."""
+    return rf"""(select doc_id, pos, sent, norm from (
+      select doc_id, pos, sent, trim(regexp_replace(lower(regexp_replace(sent, {_PUNCT}, '', 'g')), '\s\s', ' ', 'g')) as norm from (
+        select doc_id, i - 1 as pos, l[i] as sent from (select {key} as doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') as l from {table}) t, unnest(range(1, len(l) + 1)) as u(i)))
+      where norm <> '')"""
+
+
+def _toks(column: str) -> str:
+    return rf"list_filter(string_split_regex({column}, '\s+'), lambda t: t <> '')"
+
+
+_S, _B = _sents("documents", "doc_id"), _sents("benchmark", "item_id")
+_ANCHORS = f"(select min(doc_id * 1000 + pos) as anchor_id, norm as anchor, {_toks('norm')} as words from {_B} group by norm)"
+_DF = f"(select token, count(*) as df from (select doc_id, unnest(list_distinct({_toks('lower(text)')})) as token from documents) group by token)"
+_LABELLED = "(select d.doc_id, source, lang, n_chars, quality as label, (n_chars > 1500)::int as pred, round(n_chars / 1000.0, 1) as conf from documents d join labels l on d.doc_id = l.doc_id)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, d):
+    return read(spark, d, "documents").select("doc_id", "text")
+
+
+def _sentences(spark, d):
+    return corpus.sentence_table(_docs(spark, d))
+
+
+def _anchors(spark, d):
+    return D.anchor_table(read(spark, d, "benchmark"), "item_id", "text")
+
+
+def _frequency(spark, d):
+    return corpus.document_frequency(_docs(spark, d), T.tokens(F.lower("text")), "doc_id")
+
+
+def _labelled(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    rows = docs.join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return rows.select("doc_id", "source", "lang", "n_chars", F.col("quality").alias("label"), (F.col("n_chars") > 1500).cast("int").alias("pred"), F.round(F.col("n_chars") / 1000.0, 1).alias("conf"))
+
+
+# --- text ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, pos::int as pos, sent, norm from {_S}")
+def sentences(spark, d):
+    return _sentences(spark, d)
+
+
+@query(f"select doc_id, pos::int as pos, len({_toks('norm')})::int as n_tokens, array_to_string({_toks('norm')}, '|') as tokens from {_S}")
+def sentence_tokens(spark, d):
+    words = T.tokens(F.col("norm"))
+    return _sentences(spark, d).select("doc_id", "pos", F.size(words).alias("n_tokens"), F.array_join(words, "|").alias("tokens"))
+
+
+@query(rf"select doc_id, regexp_replace(regexp_replace(text, {_PUNCT}, ' ', 'g'), '\s\s', ' ', 'g') as spaced from documents")
+def spaced_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.collapse_double_space(T.punctuation_to_space(F.col("text"))).alias("spaced"))
+
+
+@query(r"""select conv_id, turn, (i - 1)::int as pos, l[i] as sent from (
+  select conv_id, turn, list_transform(list_filter(string_split_regex(text, '\.{3}|[!?.]'), lambda s: s not in ('', ' ', chr(10))), lambda s: lower(s)) as l from conversations) t, unnest(range(1, len(l) + 1)) as u(i)""")
+def script_sentences(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.script_sentences(F.col("text"))).alias("pos", "sent"))
+
+
+@query(f"select doc_id, array_to_string(list_filter({_toks('lower(text)')}, lambda t: t not in ({_STOP})), ' ') as kept from documents")
+def stop_words_removed(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(T.without_stop_words(T.tokens(F.lower("text"))), " ").alias("kept"))
+
+
+@query(r"""select class, count(*) as n from (
+  select case when b = '' then 'blank' when regexp_matches(b, '<[^>]+>') then 'html' when regexp_matches(b, '^\(.*\)$') then 'aside'
+    when upper(b) = b and regexp_matches(b, '[A-Z]') then 'speaker' else 'speech' end as class
+  from (select trim(unnest(string_split(text, chr(10)))) as b from documents)) group by class""")
+def line_classes(spark, d):
+    lines = _docs(spark, d).select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select(T.line_class(F.col("line")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WORDS = _toks("text")
+_TAIL = "'by', 'a', 'the', 'is', 'in', 'at', 'was', 'how'"
+
+
+@query(rf"""select item_id, array_to_string(case when lw[-1] in ({_TAIL}) or regexp_matches(lw[-1], '^\d{{2,4}}') then lw[:-2] else lw end, ' ') as cleaned,
+  array_to_string(list_transform(w, lambda t: case when length(t) % 4 = 0 then '1' else '0' end), '') as tags,
+  '<START> ' || array_to_string(w, ' ') || ' <STOP>' as wrapped from (select item_id, w, list_transform(w, lambda t: lower(t)) as lw from (select item_id, {_WORDS} as w from benchmark))""")
+def phrase_forms(spark, d):
+    words = T.tokens(F.col("text"))
+    pattern = F.transform("w", lambda t: F.when(F.length(t) % 4 == 0, "*").otherwise(t))
+    rows = read(spark, d, "benchmark").select("item_id", words.alias("w"))
+    tagged = F.array_join(F.transform(T.tags(pattern), lambda x: x.cast("string")), "")
+    return rows.select("item_id", F.array_join(T.clean_tail(F.col("w")), " ").alias("cleaned"), tagged.alias("tags"), F.array_join(T.with_sentinels(F.col("w")), " ").alias("wrapped"))
+
+
+# --- corpus statistics --------------------------------------------------------------------------------------------------
+
+
+@query(f"select token, df from {_DF}")
+def document_frequency(spark, d):
+    return _frequency(spark, d)
+
+
+@query(f"select token, df, round(ln((select count(*) from documents)::double / df), 6) as idf from {_DF} where df > 10")
+def inverse_document_frequency(spark, d):
+    return corpus.idf(_frequency(spark, d), _docs(spark, d).count()).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"select distinct token from (select unnest({_toks('norm')}) as token from {_B}) where token not in ({_STOP})")
+def anchor_vocabulary(spark, d):
+    return corpus.vocabulary(_anchors(spark, d).select(F.explode("words").alias("token")))
+
+
+@query(f"select token, df, (row_number() over (order by df desc, token) - 1)::int as idx from {_DF} order by df desc, token limit 1000")
+def top_words(spark, d):
+    return corpus.top_words(_frequency(spark, d), 1000)
+
+
+@query(f"select token, df from {_DF} order by df, token limit 80000")
+def rarest_words(spark, d):
+    return corpus.rarest_words(_frequency(spark, d), 80_000)
+
+
+@query(f"""select a.anchor_id, a.token, round(case when a.token in ({_STOP}) then 0.0 else coalesce(i.idf, 100.0) end, 6) as idf
+  from (select anchor_id, unnest(words) as token from {_ANCHORS}) a left join (select token, ln((select count(*) from documents)::double / df) as idf from {_DF} where df > 10) i on a.token = i.token""")
+def idf_lookup(spark, d):
+    table = corpus.idf(_frequency(spark, d), _docs(spark, d).count())
+    rows = _anchors(spark, d).select("anchor_id", F.explode("words").alias("token"))
+    return corpus.idf_of(rows, table).select("anchor_id", "token", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""select round(avg(idf), 6) as mean_idf, round(quantile_cont(idf, 0.03), 6) as p03, round(quantile_cont(idf, 0.5), 6) as p50, round(quantile_cont(idf, 0.97), 6) as p97
+  from (select ln((select count(*) from documents)::double / df) as idf from {_DF} where df > 10)""")
+def idf_percentiles(spark, d):
+    table = corpus.idf(_frequency(spark, d), _docs(spark, d).count())
+    p = lambda x: F.round(F.percentile("idf", F.lit(x)), 6)
+    return table.agg(F.round(F.avg("idf"), 6).alias("mean_idf"), p(0.03).alias("p03"), p(0.5).alias("p50"), p(0.97).alias("p97"))
+
+
+# --- joins and detection ------------------------------------------------------------------------------------------------
+
+
+@query(f"select s.doc_id, s.pos::int as pos, a.anchor_id from {_S} s join {_ANCHORS} a on s.norm = a.anchor")
+def quoted_anchors(spark, d):
+    return D.quotes(_sentences(spark, d), _anchors(spark, d)).select("doc_id", "pos", "anchor_id")
+
+
+_CAND = f"""(select s.norm, a.anchor_id, count(*) as shared from (select norm, unnest(list_distinct({_toks('norm')})) as token from (select distinct norm from {_S})) s
+  join (select anchor_id, unnest(list_distinct(words)) as token from {_ANCHORS}) a on s.token = a.token where a.token not in ({_STOP}) group by s.norm, a.anchor_id having count(*) >= 3)"""
+
+
+def _candidates(spark, d):
+    forms = _sentences(spark, d).select("norm").distinct().withColumn("words", T.tokens(F.col("norm")))
+    return corpus.shared_token_candidates(forms, _anchors(spark, d), ["norm"]).where("shared >= 3")
+
+
+@query(f"select norm, anchor_id, shared from {_CAND}")
+def shared_token_candidates(spark, d):
+    return _candidates(spark, d)
+
+
+@query(f"""select c.norm, c.anchor_id, (case when n <= m then 1 when n = m + 1 then 0 else n - m - 1 end)::int as n_windows from (
+  select c.norm, c.anchor_id, len({_toks('c.norm')}) as n, len(a.words) as m from {_CAND} c join {_ANCHORS} a on c.anchor_id = a.anchor_id) c""")
+def serving_windows(spark, d):
+    rows = _candidates(spark, d).join(_anchors(spark, d), "anchor_id")
+    return rows.select("norm", "anchor_id", F.size(corpus.serving_windows(T.tokens(F.col("norm")), F.size("words"))).alias("n_windows"))
+
+
+@query(f"""select c.norm, c.anchor_id, (select sum(least(p, q)) from (select w, len(list_filter(c.words, lambda x: x = w)) as p, len(list_filter(c.sent, lambda x: x = w)) as q from (select unnest(list_distinct(c.words)) as w)))::int as count
+  from (select c.norm, c.anchor_id, a.words, {_toks('c.norm')} as sent from {_CAND} c join {_ANCHORS} a on c.anchor_id = a.anchor_id) c""")
+def containment(spark, d):
+    rows = _candidates(spark, d).join(_anchors(spark, d), "anchor_id")
+    return rows.select("norm", "anchor_id", M.containment(F.col("words"), T.tokens(F.col("norm"))).alias("count"))
+
+
+def _neighbours(spark, d):
+    from pyspark.sql import Window as W
+
+    a = _anchors(spark, d).withColumn("n", F.row_number().over(W.orderBy("anchor_id")))  # the anchors are a small catalogue
+    return a.alias("a").join(a.alias("b"), F.col("b.n") == F.col("a.n") + 1).select(F.col("a.anchor_id").alias("anchor_id"), F.col("a.words").alias("x"), F.col("b.words").alias("y"))
+
+
+_NEXT = f"(select anchor_id, words as x, lead(words) over (order by anchor_id) as y from {_ANCHORS})"
+
+
+@query(f"""select anchor_id,
+  list_reduce(x, lambda r, w: list_reduce(range(1, len(y) + 1), lambda acc, j: list_append(acc, least(acc[-1] + 1, r[j + 1] + 1, r[j] + (y[j] <> w)::int)), [r[1] + 1]), range(0, len(y) + 1))[-1]::int as distance,
+  list_reduce(x, lambda r, w: list_reduce(range(1, len(y) + 1), lambda acc, j: list_append(acc, case when y[j] = w then r[j] + 1 else greatest(acc[-1], r[j + 1]) end), [0::bigint]), list_transform(range(0, len(y) + 1), lambda i: 0::bigint))[-1]::int as common
+  from {_NEXT} where y is not null""")
+def edit_distance(spark, d):
+    x, y = F.col("x"), F.col("y")
+    return _neighbours(spark, d).select("anchor_id", M.levenshtein(x, y).alias("distance"), M.common_subsequence(x, y).alias("common"))
+
+
+@query()
+def sequence_measures(spark, d):
+    """M2 to M7, M9, M10, M13 over neighbouring anchors; every third token of the pattern is a wildcard."""
+    star = F.transform("x", lambda t, i: F.when(i % 3 == 2, "*").otherwise(t))
+    rows = _neighbours(spark, d).withColumn("p", star)
+    two = F.lit(2)
+    return rows.select(
+        "anchor_id", M.nearest_place("y", "p").alias("wild"), M.nearest_place("y", "x").alias("plain"), M.window_distance("x", "y").alias("window"), M.replaced_run("x", "y", two).alias("replaced"),
+        M.filled("p", "y", two).alias("filled"), M.dropped("p", "y", two).alias("dropped"), M.wildcard_run("p", "y", two).alias("run"), M.wildcard_subsequence("p", "y", two).alias("subsequence"), M.aligned("p", "x").alias("aligned"),
+    )
+
+
+@query()
+def minhash_candidates(spark, d):
+    forms = _sentences(spark, d).select("norm").distinct().withColumn("words", T.tokens(F.col("norm")))
+    return corpus.minhash_candidates(forms, _anchors(spark, d), ["norm"], corpus.band_shape(0.2))
+
+
+@query()
+def detect_references(spark, d):
+    return D.detect(_docs(spark, d), _anchors(spark, d))
+
+
+def _pairs(spark, d):
+    """Candidate sentences as pairs; label: the sentence is the anchor or contains it."""
+    rows = _candidates(spark, d).join(_anchors(spark, d), "anchor_id").withColumn("cand", T.tokens(F.col("norm")))
+    # Sentences far longer than an anchor are scored by windows elsewhere, not as a pair.
+    rows = rows.where(F.size("cand") <= F.size("words") + 12)
+    pattern = F.transform("words", lambda t, i: F.when(i % 5 == 4, "*").otherwise(t))
+    table = corpus.idf(_frequency(spark, d), _docs(spark, d).count()).select("token", "idf")
+    flat = rows.select("anchor_id", F.posexplode("words").alias("i", "token")).distinct()
+    idfs = corpus.idf_of(flat, table).groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("i", "idf"))).alias("l")).select("anchor_id", F.transform("l", lambda s: s["idf"]).alias("anchor_idf"))
+    out = rows.join(idfs, "anchor_id").select("norm", "anchor_id", pattern.alias("pattern"), "cand", F.col("words").alias("anchor"), "anchor_idf", F.col("norm").contains(F.col("anchor")).cast("int").alias("label"))
+    return out.withColumn("pattern_idf", F.transform("anchor_idf", lambda v, i: F.when(i % 5 == 4, 100.0).otherwise(v)))
+
+
+@query()
+def pair_features(spark, d):
+    return features.pair_vector(_pairs(spark, d)).select("norm", "anchor_id", "label", "features")
+
+
+@query()
+def classifier_grid(spark, d):
+    """A small grid of trees: one row a point with its measures on the validation part."""
+    from refrain.operators import models
+
+    rows = models.with_vector(features.pair_vector(_pairs(spark, d)).select("norm", "label", "features")).cache()
+    mark = F.pmod(F.crc32(F.col("norm").cast("binary")), F.lit(4))
+    found = models.grid_search(rows.where(mark > 0), rows.where(mark == 0), "tree", models.grid({"depth": [2, 4], "split": [2]}))
+    rows.unpersist()
+    return spark.createDataFrame([(p["depth"], p["split"], m["tp"], m["fp"], m["fn"], m["tn"], m["accuracy"]) for p, m in found], "depth int, split int, tp long, fp long, fn long, tn long, accuracy double")
+
+
+# --- splits -------------------------------------------------------------------------------------------------------------
+
+_GROUPS = "(select source, count(*) as n from documents group by source)"
+
+
+def _groups(spark, d):
+    return read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _split_sql(order: str) -> str:
+    return f"""select source, n, case when before < floor(total * 0.5) then 'train' when before < floor(total * 0.75) then 'validation' else 'test' end as split
+  from (select source, n, coalesce(sum(n) over (order by {order} rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over () as total from {_GROUPS})"""
+
+
+@query(_split_sql("md5(source || '|0')"))
+def group_split(spark, d):
+    return splits.group_split(_groups(spark, d), "n", [splits.shuffle_key("source")], 0.5, 0.25).select("source", "n", "split")
+
+
+@query(_split_sql("n desc, md5(source || '|0')"))
+def greedy_fill(spark, d):
+    return splits.greedy_fill(_groups(spark, d), "n", [splits.shuffle_key("source")], 0.5, 0.25).select("source", "n", "split")
+
+
+@query(f"""select r.doc_id, r.source, r.label from (select *, row_number() over (partition by source, label order by md5(doc_id::varchar || '|0')) as rn from {_LABELLED}) r
+  join (select source, least(count(*) filter (label = 0), count(*) filter (label = 1)) as m from {_LABELLED} group by source) s on r.source = s.source where rn <= m""")
+def balanced_by_source(spark, d):
+    return splits.balance(_labelled(spark, d), "label", ["source"], [splits.shuffle_key("doc_id")]).select("doc_id", "source", "label")
+
+
+@query(f"select doc_id, pos::int as pos, norm from {_S} qualify row_number() over (partition by norm order by doc_id, pos) = 1")
+def first_occurrence(spark, d):
+    return splits.first_per_key(_sentences(spark, d), ["norm"], ["doc_id", "pos"]).select("doc_id", "pos", "norm")
+
+
+@query(f"select a.source, a.doc_id as positive, b.doc_id as negative from {_LABELLED} a join {_LABELLED} b on a.source = b.source where a.label = 1 and b.label = 0")
+def triplets(spark, d):
+    return splits.triplets(_labelled(spark, d), "source", "doc_id")
+
+
+@query("select doc_id from documents order by md5(doc_id::varchar || '|0') limit (select floor(count(*) * 0.3)::bigint from documents)")
+def shuffled_part(spark, d):
+    return splits.part_of(read(spark, d, "documents").select("doc_id"), [splits.shuffle_key("doc_id")], 0.3)
+
+
+@query(f"select distinct norm from {_S} except select norm from {_B}")
+def sentences_not_anchors(spark, d):
+    return _sentences(spark, d).select("norm").distinct().join(_anchors(spark, d).select(F.col("anchor").alias("norm")), "norm", "left_anti")
+
+
+# --- metrics ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""select lang, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy from (
+  select lang, count(*) filter (pred = 1 and label = 1) as tp, count(*) filter (pred = 1 and label = 0) as fp, count(*) filter (pred = 0 and label = 1) as fn, count(*) filter (pred = 0 and label = 0) as tn from {_LABELLED} group by lang)""")
+def confusion(spark, d):
+    return metrics.confusion(_labelled(spark, d), ["lang"]).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "accuracy")})
+
+
+@query(f"""select correct, pred, count(*) as n, round(avg(conf), 6) as mean_conf, round(quantile_cont(conf, 0.5), 6) as median_conf from (select *, (label = pred)::int as correct from {_LABELLED}) group by cube (correct, pred)""")
+def confidence_summary(spark, d):
+    return metrics.confidence_summary(_labelled(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean_conf", "median_conf")})
+
+
+_HIST = f"(select conf, count(*) filter (label = pred) as n_ok, count(*) filter (label <> pred) as n_bad, count(*) as n from {_LABELLED} group by conf)"
+
+
+@query(f"select conf, n_ok, n_bad, n, round(n / (select count(*) from {_LABELLED})::double, 6) as freq from {_HIST}")
+def confidence_histogram(spark, d):
+    return metrics.confidence_histogram(_labelled(spark, d)).withColumn("freq", F.round("freq", 6))
+
+
+@query(f"select conf, cum_ok, cum_bad, round(cum_ok / (cum_ok + cum_bad), 6) as cum_accuracy from (select conf, (sum(n_ok) over w)::bigint as cum_ok, (sum(n_bad) over w)::bigint as cum_bad from {_HIST} window w as (order by conf desc rows unbounded preceding))")
+def cumulative_accuracy(spark, d):
+    return metrics.cumulative(metrics.confidence_histogram(_labelled(spark, d)), descending=True).withColumn("cum_accuracy", F.round("cum_accuracy", 6))
+
+
+@query(f"""select p::int as percentile, count(*) as n, round(avg((label = pred)::int), 6) as accuracy from (
+  select unnest(range(3, 97, 3)) as p, unnest((select quantile_cont(conf, [{', '.join(f'{x / 100}' for x in range(3, 97, 3))}]) from {_LABELLED})) as cut) c join {_LABELLED} l on l.conf >= c.cut group by p""")
+def accuracy_above_percentiles(spark, d):
+    return metrics.accuracy_above(_labelled(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def _tagged(spark, d, every: int):
+    tags = F.transform("words", lambda t: F.when(F.length(t) % every == 0, "*").otherwise(t))
+    return _anchors(spark, d).select(F.col("anchor_id").alias("sent"), F.posexplode(tags).alias("pos", "tag"))
+
+
+_TAGGED = f"(select sent, i as pos, case when length(w[i]) % 3 = 0 then '*' else w[i] end as t1, case when length(w[i]) % 4 = 0 then '*' else w[i] end as t2 from (select anchor_id as sent, words as w from {_ANCHORS}) x, unnest(range(1, len(w) + 1)) as u(i))"
+
+
+def _agreement_sql(name: str, same: str, counted: str) -> str:
+    return f"""select '{name}' as variant, round(sum(a) / sum(b), 6) as micro, round(avg(a / b), 6) as macro, count(*) filter (a = b) as perfect, round(count(*) filter (a = b) / count(*), 6) as perfect_share
+  from (select sent, count(*) filter ({same}) as a, count(*) filter ({counted}) as b from {_TAGGED} group by sent) where b > 0"""
+
+
+@query(_agreement_sql("all", "t1 = t2", "true") + " union all " + _agreement_sql("wildcards", "t1 = '*' and t2 = '*'", "t1 = '*' or t2 = '*'"))
+def annotator_agreement(spark, d):
+    one, two = _tagged(spark, d, 3), _tagged(spark, d, 4)
+    both = [metrics.agreement(one, two, w).select(F.lit(n).alias("variant"), *(F.round(c, 6).alias(c) for c in ("micro", "macro")), "perfect", F.round("perfect_share", 6).alias("perfect_share")) for n, w in (("all", False), ("wildcards", True))]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""select round(count(*) filter (t and p) / count(*) filter (t), 6) as recall, round(count(*) filter (t and not p) / count(*) filter (t), 6) as fn_rate, round(count(*) filter (not t and p) / count(*) filter (not t), 6) as fp_rate
+  from (select t1 = '*' as t, t2 = '*' as p from {_TAGGED})""")
+def wildcard_rates(spark, d):
+    return metrics.wildcard_rates(_tag_rows(spark, d)).select(*(F.round(c, 6).alias(c) for c in ("recall", "fn_rate", "fp_rate")))
+
+
+def _tag_rows(spark, d):
+    both = _tagged(spark, d, 3).join(_tagged(spark, d, 4).withColumnRenamed("tag", "other"), ["sent", "pos"])
+    return both.select("sent", "pos", (F.col("tag") == "*").cast("int").alias("tag"), (F.col("other") == "*").cast("int").alias("pred"))
+
+
+@query(f"""with x as (select sent, pos, t1 = '*' as t, t2 = '*' as p from {_TAGGED})
+  select round((select avg((t = p)::int) from x), 6) as accuracy, round((select avg((t = p)::int) from x where t), 6) as wildcard_accuracy,
+  round((select avg(ok::int) from (select bool_and(t = p) as ok from x group by sent)), 6) as sentences_right, round((select avg(ok::int) from (select bool_and(t = p) as ok from x group by pos)), 6) as positions_right""")
+def token_accuracy(spark, d):
+    out = metrics.token_accuracy(_tag_rows(spark, d))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+# --- pages and scripts --------------------------------------------------------------------------------------------------
+
+
+@query(r"select page_id, (i - 1)::int as pos, l[i] as paragraph from (select page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1) as l from pages) t, unnest(range(1, len(l) + 1)) as u(i)")
+def page_paragraphs(spark, d):
+    return D.paragraphs(read(spark, d, "pages"))
+
+
+@query(f"""with s as (select doc_id, i - 1 as pos, l[i] as sent from (select doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') as l from documents) t, unnest(range(1, len(l) + 1)) as u(i)),
+  h as (select s.doc_id, s.pos, a.anchor_id from {_S} s join {_ANCHORS} a on s.norm = a.anchor),
+  e as (select s.doc_id, s.pos, h.anchor_id, replace(replace(replace(s.sent, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as sent from s left join h on s.doc_id = h.doc_id and s.pos = h.pos)
+  select doc_id, string_agg(case when anchor_id is null then sent else '<span class="reference" data-anchor="' || anchor_id || '">' || sent || '</span>' end, '' order by pos) as html from e group by doc_id""")
+def annotated_documents(spark, d):
+    return D.annotate(_docs(spark, d), D.quotes(_sentences(spark, d), _anchors(spark, d)))
+
+
+@query("""with f as (select conv_id, turn, role, text, (role is distinct from lag(role) over (partition by conv_id order by turn))::int as fresh from conversations),
+  i as (select *, sum(fresh) over (partition by conv_id order by turn) as island from f)
+  select conv_id, island::bigint as island, role, string_agg(text, ' ' order by turn) as speech from (select *, max(island) over (partition by conv_id) as last from i) where island < last group by conv_id, island, role""")
+def speaker_turns(spark, d):
+    return D.speaker_turns(read(spark, d, "conversations"))
+
+
+@query("select conv_id, batch, string_agg(' ' || text, '' order by turn) as lines from (select *, ((row_number() over (partition by conv_id order by turn) - 1) // 3)::bigint as batch from conversations) group by conv_id, batch")
+def line_batches(spark, d):
+    return D.line_batches(read(spark, d, "conversations"), 3)
+
+
+@query(f"select sent, pos::int as pos, token, lag(token, 1) over w as prev_1, lag(token, 2) over w as prev_2 from (select anchor_id as sent, i - 1 as pos, words[i] as token from {_ANCHORS}, unnest(range(1, len(words) + 1)) as u(i)) window w as (partition by sent order by pos)")
+def previous_tokens(spark, d):
+    return features.previous_tokens(_anchors(spark, d).select(F.col("anchor_id").alias("sent"), F.posexplode("words").alias("pos", "token")))
+
+
+@query(f"select source, token, count(*) as n, round(count(*) / sum(count(*)) over (partition by source), 9) as share from (select source, unnest({_toks('lower(text)')}) as token from documents) group by source, token")
+def token_shares(spark, d):
+    rows = read(spark, d, "documents").select("source", F.explode(T.tokens(F.lower("text"))).alias("token"))
+    return features.token_shares(rows, "source").withColumn("share", F.round("share", 9))
+
+
+@query()
+def stemmed_vocabulary(spark, d):
+    from refrain.functions.stem import stemmed
+
+    return corpus.vocabulary(_anchors(spark, d).select(F.explode("words").alias("token"))).withColumn("stem", stemmed("token"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
