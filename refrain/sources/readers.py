@@ -19,7 +19,7 @@ def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
     """T19's input: lines of files that are UTF-8 or Windows-1252, line by line."""
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     # Latin-1 keeps every byte, so cutting is safe before decoding.
-    lines = raw.select("file", F.posexplode(F.split(F.decode("content", F.lit("ISO-8859-1")), r"\r?\n")).alias("n", "l"))
+    lines = raw.select("file", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), r"\r?\n")).alias("n", "l"))
     return lines.select("file", (F.col("n") + 1).cast("long").alias("line_no"), T.decoded(F.encode("l", "ISO-8859-1")).alias("line"))
 
 

@@ -1,0 +1,94 @@
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from refrain.functions import text as T
+from refrain.operators import corpus, metrics, splits
+from refrain.sources import readers, writers
+
+
+def _one(spark, expression):
+    return spark.range(1).select(expression.alias("x")).first().x
+
+
+def test_text_functions(spark):
+    s = lambda x: F.lit(x)
+    assert _one(spark, T.normal(s("A-b,\nC!"))) == "abc"
+    assert _one(spark, T.collapse_double_space(s("a    b"))) == "a  b"
+    assert _one(spark, T.tokens(s("  a b "))) == ["a", "b"]
+    assert _one(spark, T.tokens(s(""))) == []
+    assert _one(spark, T.unquote(s("say 'no way' to don't"))) == "say no way to don't"
+    assert _one(spark, T.word_tokens(s("I don't [know]"))) == ["I", "do", "n't", "know"]
+    assert _one(spark, T.clean_tail(F.array(s("Born"), s("IN")))) == ["born"]
+    assert _one(spark, T.clean_tail(F.array(s("Born"), s("1984")))) == ["born"]
+    assert _one(spark, T.clean_pattern(F.array(*map(F.lit, ["X", "Y", "Is", "N"])))) == ["*", "is", "*"]
+    assert _one(spark, T.pattern_regex(F.array(s("a"), s("*")))) == r"a (\*|\s*\w+\s*)"
+    assert _one(spark, T.strip_quotes(s("dogs'"))) == ""
+    assert _one(spark, T.decoded(F.lit(b"caf\xe9 \x80"))) == "café €"
+    assert _one(spark, T.decoded(F.lit("café".encode()))) == "café"
+    assert [_one(spark, T.line_class(s(x))) for x in ("", "<b>", "(sighs)", "JOHN", "Hi")] == ["blank", "html", "aside", "speaker", "speech"]
+
+
+def test_serving_rule(spark):
+    sizes = {}
+    for n in (1, 2, 3, 4, 7):
+        words = F.array(*(F.lit(str(i)) for i in range(n)))
+        sizes[n] = [len(w) for w in _one(spark, corpus.serving_windows(words, F.lit(2)))]
+    assert sizes == {1: [1], 2: [2], 3: [], 4: [4], 7: [4, 4, 4, 4]}
+
+
+def test_minhash_candidates_are_shared_token_candidates(spark):
+    rng = __import__("random").Random(5)
+    some = lambda n: [(i, [rng.choice("bcefghjklnpq") for _ in range(4)]) for i in range(n)]
+    s, a = spark.createDataFrame(some(60), "norm int, words array<string>"), spark.createDataFrame(some(10), "anchor_id int, words array<string>")
+    one = corpus.minhash_candidates(s, a, ["norm"])
+    two = corpus.shared_token_candidates(s, a, ["norm"])
+    assert one.join(two, ["norm", "anchor_id"], "left_anti").count() == 0 and one.count() > 0.9 * two.where("shared >= 2").count()
+    assert corpus.band_shape(0.8)[1] > corpus.band_shape(0.2)[1]
+
+
+def test_split_with_one_large_group(spark):
+    g = spark.createDataFrame([("a", 90), ("b", 5), ("c", 5)], "k string, n long")
+    got = {r.k: r.split for r in splits.greedy_fill(g, "n", ["k"], 0.5, 0.25).collect()}
+    assert got == {"a": "train", "b": "test", "c": "test"}
+
+
+def test_metrics_without_positives(spark):
+    rows = spark.createDataFrame([(0, 0), (0, 0)], "label int, pred int")
+    r = metrics.confusion(rows).first()
+    assert (r.precision, r.recall, r.accuracy) == (None, None, 1.0)
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    p = tmp_path / "pairs"
+    p.write_bytes("to be,To be!,1\nto be,to  be,0\nbad line\nto be,caf".encode() + b"\xe9,0\n")
+    rows = readers.labelled_pairs(spark, str(p))
+    assert sorted((r.cand or "", r.label, r._corrupt_record) for r in rows.collect()) == [("", None, "bad line"), ("café", 0, None), ("to be", 1, None)]
+    assert readers.labelled_pairs(spark, str(p), strict=True).count() == 2
+    c = tmp_path / "catalogue"
+    c.write_text("To be,to be *,from a play\nmay it be,may * be,another\n")
+    got = readers.catalogue(spark, str(c)).orderBy("anchor_id").collect()
+    assert [(r.anchor, r.pattern, r.hover) for r in got] == [("To be", ["to", "be", "*"], "from a play"), ("may it be", ["may", "*", "be"], "another")]
+    f = tmp_path / "forms"
+    f.write_text("X is the new Y ### orange is the new black in\n")
+    assert readers.raw_forms(spark, str(f)).first().pattern == ["*", "is", "the", "new", "*"]
+    a = tmp_path / "annotator"
+    a.write_text("a b,a *\na b,* *\n")
+    assert readers.annotations(spark, str(a)).first().tags == ["*", "*"]
+    writers.write_features(spark.createDataFrame([(1, "train"), (2, "test")], "x int, split string"), str(tmp_path / "out"))
+    assert sorted(x for x in os.listdir(tmp_path / "out") if x.startswith("split")) == ["split=test", "split=train"]
+
+
+def test_stream_answers_each_paragraph(spark, tmp_path):
+    from refrain.plans import detect as D
+    from refrain.streaming import serve
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"doc_id": 1, "text": "He cried. Winter is truly coming tonight friends."}) + "\n")
+    phrases = spark.createDataFrame([(7, "Winter is truly coming tonight friends.")], "item_id long, text string")
+    anchors = D.anchor_table(phrases, "item_id", "text")
+    q = serve.serve(serve.requests(spark, str(tmp_path / "in")), anchors, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    html = spark.read.json(str(tmp_path / "out")).first().html
+    assert html.startswith("He cried.") and 'data-anchor="7000"' in html
