@@ -51,18 +51,19 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs with the text cleaned, and two columns more: its lines and how many of them went."""
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with those made here
+    docs, id_col, site_col, text_col = docs.toDF(*own.values()), own[id_col], own[site_col], own[text_col]
     lines = materialise(line_table(docs, id_col, site_col, text_col), "lines")
     stale = materialise(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.join(bounded(stale), "key").where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
-    drops = hits.groupBy("doc").agg(F.collect_set("pos").alias("_drop")).withColumnRenamed("doc", "_doc")
+    drops = hits.groupBy("doc").agg(F.collect_set("pos").alias("drop"))
     text = F.col(text_col).cast("string")
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("_doc")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_drop"))
-    joined = joined.withColumn("_all", _lines(text)).withColumn("_new", F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n")))
-    fine = F.col("_drop").isNotNull() & (2 * (F.char_length(text) - F.char_length("_new")) <= F.char_length(text))
-    joined = joined.withColumn("_fine", fine)
-    rest = [F.when(F.col("_fine"), F.col("_new")).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*rest, F.coalesce(F.size("_all"), F.lit(0)).cast("long").alias(n_lines), F.when(F.col("_fine"), F.size("_drop")).otherwise(F.lit(0)).cast("long").alias(n_dropped))
+    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("doc")), "left").withColumn("all", _lines(text))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("drop"))
+    joined = joined.withColumn("new", F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n")))
+    joined = joined.withColumn("fine", F.col("drop").isNotNull() & (2 * (F.char_length(text) - F.char_length("new")) <= F.char_length(text)))
+    rest = [F.when(F.col("fine"), F.col("new")).otherwise(text).alias(c) if n == text_col else F.col(n).alias(c) for c, n in own.items()]
+    return joined.select(*rest, F.coalesce(F.size("all"), F.lit(0)).cast("long").alias(n_lines), F.when(F.col("fine"), F.size("drop")).otherwise(F.lit(0)).cast("long").alias(n_dropped))
 
 
 ORACLE = """
