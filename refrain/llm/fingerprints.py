@@ -34,11 +34,16 @@ MOST_PARTS = 100_000
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Something below 2^32 that equals x modulo 2^31 - 1, for x below 2^62."""
+    return (x & PRIME) + (x >> _SHIFT)
+
+
 def _reduce(x: np.ndarray) -> np.ndarray:
-    """x modulo 2^31 - 1, for x below 2^62."""
-    x = (x & PRIME) + (x >> _SHIFT)
-    x = (x & PRIME) + (x >> _SHIFT)
-    return np.where(x >= PRIME, x - PRIME, x)
+    """x modulo 2^31 - 1, for x below 2^63."""
+    x = _fold(_fold(x))
+    x[x >= PRIME] -= PRIME
+    return x
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,32 +67,36 @@ def code_points(text: str) -> np.ndarray:
 class PrefixHash:
     """Modular prefix arrays of a text; places are code points."""
 
-    def __init__(self, text: str | np.ndarray):
+    def __init__(self, text: str | np.ndarray, like: PrefixHash | None = None, keep: int = 0):
+        """like, keep: a text with the same first `keep` code points, whose arrays are taken over for them."""
         points = code_points(text) if isinstance(text, str) else text
         self.n = len(points)
-        c = points.astype(np.uint64) + np.uint64(1)
+        c = points[keep:].astype(np.uint64) + np.uint64(1)
         self.sums = []
-        for base in BASES:
+        for i, base in enumerate(BASES):
             power, _ = _powers(base, self.n + 1)
-            out = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_reduce(c * power[: self.n]), out=out[1:])
-            self.sums.append(_reduce(out))
+            out = np.empty(self.n + 1 - keep, np.uint64)
+            out[0] = like.sums[i][keep] if keep else 0
+            out[1:] = _fold(c * power[keep : self.n])
+            np.cumsum(out, out=out)
+            out = _reduce(out)
+            self.sums.append(np.concatenate((like.sums[i][:keep], out)) if keep else out)
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """62-bit hashes of the spans [start, end), independent of where they lie."""
         out = None
         for base, sums in zip(BASES, self.sums, strict=True):
             _, inverse = _powers(base, self.n + 1)
-            h = _reduce(_reduce(sums[ends] + PRIME - sums[starts]) * inverse[starts])
+            h = _reduce(_fold(sums[ends] + PRIME - sums[starts]) * inverse[starts])
             out = h if out is None else (out << _SHIFT) | h
         return out
 
-    def windows(self, width: int) -> np.ndarray:
-        """Hashes of all spans of one width, in order."""
+    def windows(self, width: int, first: int = 0) -> np.ndarray:
+        """Hashes of all spans of one width that start at `first` or later, in order."""
         out = None
         for base, sums in zip(BASES, self.sums, strict=True):
             _, inverse = _powers(base, self.n + 1)
-            h = _reduce(_reduce(sums[width:] + PRIME - sums[: self.n + 1 - width]) * inverse[: self.n + 1 - width])
+            h = _reduce(_fold(sums[first + width :] + PRIME - sums[first : self.n + 1 - width]) * inverse[first : self.n + 1 - width])
             out = h if out is None else (out << _SHIFT) | h
         return out
 
@@ -109,9 +118,8 @@ class PrefixHash:
         return lo
 
 
-def _smallest(hashes: np.ndarray) -> np.ndarray:
-    """The SKETCH smallest distinct of the mixed hashes, 32 bits of each."""
-    x = mix(hashes)
+def _smallest(x: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of the SKETCH smallest distinct numbers."""
     take = 4 * SKETCH
     if len(x) > 2 * take:
         low = np.unique(np.partition(x, take)[:take])
@@ -121,10 +129,15 @@ def _smallest(hashes: np.ndarray) -> np.ndarray:
 
 
 class Fingerprint:
-    def __init__(self, hashed: PrefixHash):
+    def __init__(self, hashed: PrefixHash, like: Fingerprint | None = None, keep: int = 0):
+        """like, keep: the fingerprint of a text with the same first `keep` code points: its spans there are not hashed again."""
         self.n = hashed.n
         self.whole = hashed.span(0, self.n) if self.n else 0
-        self.sketch = _smallest(hashed.windows(min(SPAN, self.n))) if self.n else np.zeros(0, np.uint64)
+        same = max(0, keep - SPAN + 1)
+        self.spans = mix(hashed.windows(min(SPAN, self.n), same)) if self.n else np.zeros(0, np.uint64)
+        if same:
+            self.spans = np.concatenate((like.spans[:same], self.spans))
+        self.sketch = _smallest(self.spans)
 
     def __str__(self) -> str:
         return f"{self.n:x}:{self.whole:016x}:" + "".join(f"{x:012x}" for x in self.sketch.tolist())
@@ -136,8 +149,8 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
         return 1.0
     if not len(a.sketch) or not len(b.sketch):
         return 0.0
-    union = np.union1d(a.sketch, b.sketch)[:SKETCH]
-    return float(np.isin(union, np.intersect1d(a.sketch, b.sketch)).sum() / len(union))
+    times = np.unique(np.concatenate((a.sketch, b.sketch)), return_counts=True)[1][:SKETCH]
+    return float((times == 2).sum() / len(times))
 
 
 def parse(text: str) -> Fingerprint:
@@ -204,9 +217,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             doc, points, hashed, mark, _ = now
             n = len(points)
             head = after[1][: n // 3]
-            edited = np.concatenate((points[: n - n // 3], head))
-            other = PrefixHash(edited)
-            theirs = Fingerprint(other)
+            keep = n - n // 3
+            edited = np.concatenate((points[:keep], head))
+            other = PrefixHash(edited, hashed, keep)
+            theirs = Fingerprint(other, mark, keep)
             sha = hashlib.sha256(edited.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")).hexdigest()
             return doc, n, sha, str(mark), str(theirs), likeness(mark, theirs), likeness(mark, after[3]), hashed.extension(0, other, 0)
 
