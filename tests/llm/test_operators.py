@@ -140,6 +140,17 @@ def test_passages(spark, docs, empty):
     assert [c.tolist() for c in chain(np.array([0, 10, 20, 25]), np.array([0, 10, 20, 3]))][0] == [0, 1, 2]
 
 
+def test_long_passage_hides_no_later_one():
+    import numpy as np
+
+    from refrain.llm.substring_dedup import K, chain
+
+    first, second = np.arange(0, 300, 8), np.arange(0, 120 - K, 8)
+    pos, other = np.concatenate((first, 400 + second)), np.concatenate((first, 410 + second))
+    got = [c.tolist() for c in chain(pos, other)]
+    assert got == [list(range(len(first))), list(range(len(first), len(pos)))]
+
+
 def test_sentencepiece(docs, empty):
     import public_tokenizers
 
