@@ -151,6 +151,16 @@ def test_long_passage_hides_no_later_one():
     assert got == [list(range(len(first))), list(range(len(first), len(pos)))]
 
 
+def test_exact_passages_on_one_diagonal_come_out(spark):
+    from refrain.llm.substring_dedup import passages
+
+    one, two = prose(55, 301), prose(55, 302)
+    texts = [f"{one} {prose(45, 303 + i)} {two}" for i in range(2)] + [f"{prose(30, 310 + i)} {prose(100, 312)} {prose(50, 313 + i)} {prose(60, 315)}" for i in range(2)]
+    got = {(r.doc, r.start, r.end) for r in passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {(1, 0, 55), (1, 100, 155), (3, 30, 130), (3, 180, 240)}
+    assert all(any(doc == d and a <= start and b >= end for doc, a, b in got) for d, start, end in want)
+
+
 def test_sentencepiece(docs, empty):
     import public_tokenizers
 
