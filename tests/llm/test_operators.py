@@ -161,6 +161,20 @@ def test_exact_passages_on_one_diagonal_come_out(spark):
     assert all(any(doc == d and a <= start and b >= end for doc, a, b in got) for d, start, end in want)
 
 
+def test_lines_that_also_occur_alone_hide_no_passage(spark):
+    from refrain.llm.substring_dedup import passages
+
+    few, many = ([prose(15, 400 + 10 * k + i) for i in range(4)] for k in range(2))
+    texts = [f"{prose(30, 1000 + i)} {lines[i % 4]} {prose(30, 2000 + i)}" for lines, n in ((few, 24), (many, 200)) for i in range(n)]
+    # The seeds across the ends of lines are taken as well: each two neighbours stand alone in other documents.
+    texts += [f"{prose(30, 3000 + i)} {lines[i % 3]} {lines[i % 3 + 1]} {prose(30, 4000 + i)}" for lines, n in ((few, 12), (many, 120)) for i in range(n)]
+    whole = [f"{prose(40, 5000 + i)} {' '.join(lines)} {prose(40, 6000 + i)}" for i in range(2) for lines in (few, many)]
+    n = len(texts) // 2
+    texts = [*texts[::2], *whole[:2], *texts[1::2], *whole[2:]]
+    got = [(r.doc, r.start, r.end, r.other) for r in passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert all(any(d == doc and o == first and a <= 40 and b >= 100 for d, a, b, o in got) for doc, first in ((len(texts) - 2, n), (len(texts) - 1, n + 1)))
+
+
 def test_sentencepiece(docs, empty):
     import public_tokenizers
 
