@@ -175,6 +175,41 @@ def test_lines_that_also_occur_alone_hide_no_passage(spark):
     assert all(any(d == doc and o == first and a <= 40 and b >= 100 for d, a, b, o in got) for doc, first in ((len(texts) - 2, n), (len(texts) - 1, n + 1)))
 
 
+def repeats(a, b):
+    """Brute force: whether some diagonal holds 50 words or more at identity 0.8 (a longer one holds one of 50 to 99 words)."""
+    import numpy as np
+
+    for d in range(50 - len(b), len(a) - 49):
+        x, y = a[max(d, 0) :], b[max(-d, 0) :]
+        same = np.concatenate(([0], np.cumsum([p == q for p, q in zip(x, y)])))
+        if any((same[n:] - same[:-n] >= 0.8 * n).any() for n in range(50, min(100, len(same)))):
+            return True
+    return False
+
+
+def test_recall_of_fuzzy_passages(spark):
+    from refrain.llm.substring_dedup import passages
+
+    texts, kinds = [], []
+    for kind, (every, share) in enumerate([(5, 0), (8, 0), (10, 0), (16, 0), (0, 0.8), (0, 0.85), (0, 0.9), (0, 0.95)]):
+        for i in range(25):
+            r = random.Random(1000 * kind + i)
+            one = prose(60, 7000 + 100 * kind + i).split(" ")
+            two = list(one)
+            for j in range(r.randrange(every), 60, every) if every else r.sample(range(60), round(60 * (1 - share))):
+                two[j] = r.choice(VOCABULARY) + "x"
+            texts += [" ".join([prose(30, r.random()), *x, prose(30, r.random())]) for x in ([one, two])]
+            kinds.append(kind)
+    found = {(r.doc, r.other) for r in passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    true, got = collections.Counter(), collections.Counter()
+    for i, kind in enumerate(kinds):
+        if repeats(texts[2 * i].split(" "), texts[2 * i + 1].split(" ")):
+            true[kind] += 1
+            got[kind] += (2 * i + 1, 2 * i) in found
+    print([(k, got[k], true[k]) for k in sorted(true)])
+    assert sum(true.values()) > 170 and sum(got.values()) >= 0.98 * sum(true.values()) and all(got[k] >= 0.9 * true[k] for k in true)
+
+
 def test_sentencepiece(docs, empty):
     import public_tokenizers
 
