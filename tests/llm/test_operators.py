@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -241,6 +242,31 @@ def test_line_dedup(docs, empty):
     assert clean_lines(docs).count() == len(rows()) and clean_lines(empty).count() == 0
 
 
+def test_boilerplate_goes_from_short_pages_too(spark):
+    from refrain.llm.line_dedup import clean_lines
+
+    menu = "Home | About us | Contact | All rights reserved by the owners"
+    d = spark.createDataFrame([(i, f"{menu}\nshort {i}" if i else menu, f"s{i}") for i in range(12)] + [(12, menu, "s12")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in clean_lines(d).collect()}
+    assert got == {0: (menu, 0), **{i: (f"short {i}", 1) for i in range(1, 12)}, 12: ("", 1)}
+
+
+@pytest.mark.parametrize("name", ["op5_line_dedup", "op5_line_dedup_whole"])
+def test_line_dedup_equals_sql(spark, name):
+    import duckdb
+
+    from refrain.llm import queries as Q
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    want = con.sql(f"select doc_id, text, n_lines, n_dropped from ({Q.oracle_sql()[name]})").fetchall()
+    got = Q.queries()[name](spark, data).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+
+
 def test_sharding(docs, empty):
     from refrain.llm.sharding import shards
 
