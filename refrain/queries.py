@@ -186,9 +186,18 @@ _CAND = f"""(select s.norm, a.anchor_id, count(*) as shared from (select norm, u
   join (select anchor_id, unnest(list_distinct(words)) as token from {_ANCHORS}) a on s.token = a.token where a.token not in ({_STOP}) group by s.norm, a.anchor_id having count(*) >= 3)"""
 
 
-def _candidates(spark, d):
+#: All candidates: one common token that is no stop word is enough. The queries named all_... and those without SQL take these; the SQL of
+#: the others asks for three common tokens.
+_ALL_CAND = _CAND.replace(" having count(*) >= 3", "")
+
+
+def _all_candidates(spark, d):
     forms = _sentences(spark, d).select("norm").distinct().withColumn("words", T.tokens(F.col("norm")))
-    return corpus.shared_token_candidates(forms, _anchors(spark, d), ["norm"]).where("shared >= 3")
+    return corpus.shared_token_candidates(forms, _anchors(spark, d), ["norm"])
+
+
+def _candidates(spark, d):
+    return _all_candidates(spark, d).where("shared >= 3")
 
 
 @query(f"select norm, anchor_id, shared from {_CAND}")
@@ -210,6 +219,23 @@ def containment(spark, d):
     return rows.select("norm", "anchor_id", M.containment(F.col("words"), T.tokens(F.col("norm"))).alias("count"))
 
 
+@query(f"select norm, anchor_id, shared from {_ALL_CAND}")
+def all_shared_token_candidates(spark, d):
+    return _all_candidates(spark, d)
+
+
+@query(_SQL["serving_windows"].replace(_CAND, _ALL_CAND))
+def all_serving_windows(spark, d):
+    rows = _all_candidates(spark, d).join(_anchors(spark, d), "anchor_id")
+    return rows.select("norm", "anchor_id", F.size(corpus.serving_windows(T.tokens(F.col("norm")), F.size("words"))).alias("n_windows"))
+
+
+@query(_SQL["containment"].replace(_CAND, _ALL_CAND))
+def all_containment(spark, d):
+    rows = _all_candidates(spark, d).join(_anchors(spark, d), "anchor_id")
+    return rows.select("norm", "anchor_id", M.containment(F.col("words"), T.tokens(F.col("norm"))).alias("count"))
+
+
 def _neighbours(spark, d):
     from pyspark.sql import Window as W
 
@@ -254,7 +280,7 @@ def detect_references(spark, d):
 
 def _pairs(spark, d):
     """Candidate sentences as pairs; label: the sentence is the anchor or contains it."""
-    rows = _candidates(spark, d).join(_anchors(spark, d), "anchor_id").withColumn("cand", T.tokens(F.col("norm")))
+    rows = _all_candidates(spark, d).join(_anchors(spark, d), "anchor_id").withColumn("cand", T.tokens(F.col("norm")))
     # Sentences far longer than an anchor are scored by windows elsewhere, not as a pair.
     rows = rows.where(F.size("cand") <= F.size("words") + 12)
     pattern = F.transform("words", lambda t, i: F.when(i % 5 == 4, "*").otherwise(t))
