@@ -279,21 +279,24 @@ def detect_references(spark, d):
 
 
 def _pairs(spark, d):
-    """Candidate sentences as pairs; label: the sentence is the anchor or contains it."""
+    """Candidate sentences, or their windows, as pairs; label: the sentence or window is the anchor or contains it."""
     rows = _all_candidates(spark, d).join(_anchors(spark, d), "anchor_id").withColumn("cand", T.tokens(F.col("norm")))
-    # Sentences far longer than an anchor are scored by windows elsewhere, not as a pair.
-    rows = rows.where(F.size("cand") <= F.size("words") + 12)
+    # Sentences far longer than an anchor are scored by the windows of the serving rule: a pair for each.
+    whole = F.size("cand") <= F.size("words") + 12
+    rows = rows.select("*", F.posexplode(F.when(whole, F.array("cand")).otherwise(corpus.serving_windows(F.col("cand"), F.size("words")))).alias("window", "part"))
+    said = F.when(whole, F.col("norm")).otherwise(F.array_join("part", " "))
+    rows = rows.withColumn("label", said.contains(F.col("anchor")).cast("int")).withColumn("cand", F.col("part"))
     pattern = F.transform("words", lambda t, i: F.when(i % 5 == 4, "*").otherwise(t))
     table = corpus.idf(_frequency(spark, d), _docs(spark, d).count()).select("token", "idf")
     flat = rows.select("anchor_id", F.posexplode("words").alias("i", "token")).distinct()
     idfs = corpus.idf_of(flat, table).groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("i", "idf"))).alias("l")).select("anchor_id", F.transform("l", lambda s: s["idf"]).alias("anchor_idf"))
-    out = rows.join(idfs, "anchor_id").select("norm", "anchor_id", pattern.alias("pattern"), "cand", F.col("words").alias("anchor"), "anchor_idf", F.col("norm").contains(F.col("anchor")).cast("int").alias("label"))
+    out = rows.join(idfs, "anchor_id").select("norm", "anchor_id", "window", pattern.alias("pattern"), "cand", F.col("words").alias("anchor"), "anchor_idf", "label")
     return out.withColumn("pattern_idf", F.transform("anchor_idf", lambda v, i: F.when(i % 5 == 4, 100.0).otherwise(v)))
 
 
 @query()
 def pair_features(spark, d):
-    return features.pair_vector(_pairs(spark, d)).select("norm", "anchor_id", "label", "features")
+    return features.pair_vector(_pairs(spark, d)).select("norm", "anchor_id", "window", "label", "features")
 
 
 @query()
