@@ -124,8 +124,9 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data, offsets - offsets[0]
 
 
-def word_stream(column: pa.Array, lower: bool = False):
-    """For each text of the column, in order: (hashes of its words, their starts, their ends); places are bytes of the text.
+def word_chunks(column: pa.Array, lower: bool = False):
+    """(row, hashes, cuts, starts, ends): the words of some rows of the column in a row, from row number `row` on; words cuts[k] to
+    cuts[k + 1] are those of row + k; starts and ends are bytes of the row's text.
 
     Words are runs of bytes other than ASCII white space. Texts are hashed together about a megabyte at a time; a longer text is
     cut at white space, so that memory follows the longest word and not the longest text.
@@ -138,9 +139,8 @@ def word_stream(column: pa.Array, lower: bool = False):
             lo = offsets[i]
             hashes, starts, ends = _hash_words(data[lo : offsets[j]], offsets[i:j] - lo, lower)
             cuts = np.searchsorted(starts, offsets[i : j + 1] - lo)
-            for k in range(j - i):
-                a, b, base = cuts[k], cuts[k + 1], offsets[i + k] - lo
-                yield hashes[a:b], starts[a:b] - base, ends[a:b] - base
+            base = np.repeat(offsets[i:j] - lo, np.diff(cuts))
+            yield i, hashes, cuts, starts - base, ends - base
         else:
             parts, lo, end, begin = [], int(offsets[i]), int(offsets[i + 1]), int(offsets[i])
             while lo < end:
@@ -151,11 +151,27 @@ def word_stream(column: pa.Array, lower: bool = False):
                 h, s, e = _hash_words(data[lo:hi], np.zeros(1, np.int64), lower)
                 parts.append((h, s + (lo - begin), e + (lo - begin)))
                 lo = hi
-            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield i, hashes, np.array([0, len(hashes)]), starts, ends
             j = i + 1
         i = j
 
 
+def word_stream(column: pa.Array, lower: bool = False):
+    """For each text of the column, in order: (hashes of its words, their starts, their ends); places are bytes of the text."""
+    for _, hashes, cuts, starts, ends in word_chunks(column, lower):
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield hashes[a:b], starts[a:b], ends[a:b]
+
+
+def run_hashes(words: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of `length` words that begin at these places, from prefix sums: each costs the same, however long it is."""
+    power, inverse = _power_tables(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * power[: len(words)], out=sums[1:])
+    return mix((sums[begins + length] - sums[begins]) * inverse[begins] + np.uint64(length))
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the runs of k words, in order; of fewer words, of the whole sequence as one; of none, none."""
     n = len(words)
