@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of narrow ids that may be broadcast (16 to 32 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+FILES_PER_CORE = 4
 #: Bytes of text that are hashed in one vectorised go.
 CHUNK_BYTES = 1 << 20
 
@@ -28,11 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in no more partitions than FILES_PER_CORE for each core of the cluster, so that no table comes in thousands of tiny files."""
+    return df.coalesce(max(1, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
