@@ -327,6 +327,42 @@ def test_jaccard_crowds(spark, monkeypatch):
     assert got == dict(enumerate(root)) and 1 < len(set(root)) < len(texts)
 
 
+def test_jaccard_rows_without_id(spark):
+    from refrain.llm.jaccard import similarity_components
+
+    other = prose(60, 900)
+    rows = [(5, BASE), (None, BASE), (None, other), (9, edited(BASE, 60, 5)), (9, BASE), (9, None)]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = [len(s) for s in jaccard_truth([t for _, t in rows])[0]]
+    assert got == collections.Counter([(5, n[0], 5), (None, n[1], 5), (None, n[2], None), (9, n[3], 5), (9, n[4], 5), (9, 0, 9)])
+
+
+def test_links_of_a_block_are_all_links():
+    import numpy as np
+
+    from refrain.llm import jaccard
+
+    r = random.Random(77)
+    for trial in range(30):
+        base = [r.getrandbits(64) for _ in range(60)]
+        sets = []
+        for _ in range(40):
+            kept = [x for x in base if r.random() < 0.9] + [r.getrandbits(64) for _ in range(r.randint(0, 12))]
+            sets.append(np.unique(np.array(kept, np.uint64)))
+        df = collections.Counter(int(x) for s in sets for x in s)
+        # What the second order leaves: the rarest of the live first tokens.
+        rare = []
+        for s in sets:
+            live = sorted((df[int(x)], int(x)) for x in s[: int(jaccard._prefix_sizes(len(s), 75))] if df[int(x)] > 1)
+            small = jaccard._need(len(s), 75)
+            need = max(1, (small - jaccard._need(small, 75) + 2) // 2)
+            rare.append(np.array(sorted(x for _, x in live[: max(0, len(live) - need + 1)]), np.uint64))
+        comp = np.array([r.randint(0, 30) for _ in sets])
+        got = {tuple(x) for x in jaccard.linked_in_block(sets, rare, comp, 75).tolist()}
+        both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))  # noqa: B023, E731
+        assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if comp[i] != comp[j] and 100 * both(i, j) >= 75 * (len(sets[i]) + len(sets[j]) - both(i, j))}
+
+
 def test_quality_classifier(spark, docs, empty):
     from refrain.llm.quality_classifier import scores, train
 
