@@ -1,13 +1,15 @@
 """K-d tree partitioning: recursive splits at distributed weighted medians along the widest metadata dimension.
 
-A row's weight is the UTF-8 bytes of its text plus 1. Each level splits every node at once: the widest dimension is the one whose
-values spread farthest, as a part of their spread over the whole table; its weighted median is found by histograms of BINS bins, narrowed until
-one bin is finer than the tolerance. A histogram is at most BINS rows a node, so the driver holds a bounded table, and no task holds
-a node. Dimensions: length, number of lines, mean word length (of the text), language and source (by hash).
+Equal texts are one point of the tree, so they lie in one shard whatever their metadata; its weight is that of all its rows, a row's being
+the UTF-8 bytes of its text plus 1, and its language and source are the least ones by hash among its rows. Each level splits every node at
+once: the widest dimension is the one in which the node's weight is spread farthest (standard deviation, as a part of that over the whole
+table), and the weighted median along it is found by histograms of BINS bins, narrowed until one bin is finer than the tolerance. A
+histogram is at most BINS rows a node, so the driver holds a bounded table, and no task holds a node. Dimensions: length, number of
+lines, mean word length (of the text), language and source (by hash). A point's place along a dimension is its value, then the crc32 of
+its text.
 
-A row's place along a dimension is its value, then the crc32 of its text, so equal texts lie together and a cut parts them only in the
-group it falls into. Groups of equal texts that hold more than 1/64 of all bytes would upset the sizes; they alone are spread by a
-hash of the id.
+Points of over 1/64 of all bytes, of which there can't be more than 64, are dealt to the emptiest shards first, largest first; the tree then splits the
+rest in such proportions that all shards come out equal. Where one point is larger than a shard, the others share what is left.
 
 Defined results: a null text weighs 1 and has crc32 0; nulls in metadata are values of their own; repeated rows are rows of
 their own; an empty table gives an empty table. Other columns of the input are not read.
@@ -15,15 +17,19 @@ their own; an empty table gives an empty table. Other columns of the input are n
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.common import gapless, materialise
+from refrain.llm.common import bounded, gapless, materialise
 
 BINS = 1024
 #: A cut is fine when the bin it falls into holds less than this part of the node's bytes.
 TOLERANCE = 1 / 4096
-_VALUE_BITS, _SUB_BITS = 20, 10
+#: Points of more than a part of LARGE of all bytes are dealt before the tree.
+LARGE = 64
+_VALUE_BITS, _COARSE_BITS = 20, 10
 
 
 def _dimensions(has: set[str], text: Column) -> dict[str, Column]:
@@ -37,64 +43,99 @@ def _dimensions(has: set[str], text: Column) -> dict[str, Column]:
     return out | {c: coded(F.col(c)) for c in ("lang", "source") if c in has}
 
 
+_POINT = ["key", "crc", "size"]
+
+
 def metadata(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, size, crc, d_*): what the tree looks at; texts are left behind."""
+    """(doc, size, crc, key, d_*): what the tree looks at; texts are left behind. key, crc and size name a text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     dims = _dimensions(set(docs.columns) - {id_col, text_col}, text)
-    return docs.select(F.col(id_col).alias("doc"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), *(c.alias(f"d_{k}") for k, c in dims.items()))
+    return docs.select(F.col(id_col).alias("doc"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("key"), *(c.alias(f"d_{k}") for k, c in dims.items()))
 
 
-def tree_shards(docs: DataFrame, levels: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, size, crc, shard) with 2^levels shards."""
-    rows = materialise(metadata(docs, id_col, text_col), "metadata")
-    dims = [c for c in rows.columns if c.startswith("d_")]
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
-    large = rows.groupBy("crc", "size").agg(F.sum("size").alias("b")).where(F.col("b") * 64 > total).select("crc", "size", F.lit(True).alias("large"))
-    rows = rows.join(F.broadcast(large), ["crc", "size"], "left")  # at most 64 groups hold over 1/64 each
-    sub = F.when(F.col("large"), F.pmod(F.xxhash64("doc"), F.lit(2**_SUB_BITS))).otherwise(F.lit(0)).cast("long")
-    place = lambda d: F.shiftleft(F.col(d), 32 + _SUB_BITS) + F.shiftleft(F.col("crc"), _SUB_BITS) + F.col("sub")
-    rows = materialise(rows.withColumn("sub", sub).drop("large").withColumn("node", F.lit(0)), "points")
-    whole = rows.agg(*(F.min(d).alias(f"lo_{d}") for d in dims), *(F.max(d).alias(f"hi_{d}") for d in dims)).first()
+def room(total: int, loads: list[int]) -> list[Fraction]:
+    """How much more each shard takes so that all come out equal, or as near as the loads allow."""
+    rest = total - sum(loads)
+    level, free = Fraction(0), sorted(loads)
+    for n in range(1, len(free) + 1):
+        level = Fraction(rest + sum(free[:n]), n)
+        if n == len(free) or level <= free[n]:
+            break
+    return [max(Fraction(0), level - x) for x in loads]
+
+
+def _place(axis: str) -> Column:
+    return F.shiftleft(F.col(axis), 32) + F.col("crc")
+
+
+def _node(tree: dict[int, tuple[str, int]], level: int) -> Column:
+    """The node that a point is in after `level` cuts; the tree has a cut (axis, place) for each node, the root being 1."""
+    at = F.lit(1)
+    for depth in range(level):
+        step = F.lit(0)
+        for n in range(1 << depth, 2 << depth):
+            if n in tree:
+                step = F.when(at == n, (_place(tree[n][0]) >= F.lit(tree[n][1]).cast("long")).cast("int")).otherwise(step)
+        at = at * 2 + step
+    return at
+
+
+def grow(points: DataFrame, dims: list[str], capacity: list[Fraction]) -> dict[int, tuple[str, int]]:
+    """The cuts of a tree over points (weight, crc, d_*) that fills leaf i in proportion to capacity[i]."""
 
     def by_node(values: dict[int, object], kind: str) -> Column:
         """The value of a row's node; there are few nodes."""
-        keys = sorted(values)
-        return F.element_at(F.array(*(F.lit(values.get(k)).cast(kind) for k in range(keys[-1] + 1))), F.col("node") + 1)
+        return F.element_at(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(kind)))), F.col("node"))
+
+    def moments(rows: DataFrame) -> list:
+        sums = []
+        for d in dims:
+            x = F.shiftright(F.col(d), _VALUE_BITS - _COARSE_BITS)
+            sums += [F.sum(F.col("weight") * x).alias(f"s_{d}"), F.sum(F.col("weight").cast("decimal(18,0)") * (x * x).cast("decimal(8,0)")).alias(f"q_{d}"), F.min(d).alias(f"lo_{d}"), F.max(d).alias(f"hi_{d}")]
+        return rows.groupBy("node").agg(F.sum("weight").alias("b"), *sums).collect()
+
+    def variance(r, d: str) -> Fraction:
+        return Fraction(int(r[f"q_{d}"]), r["b"]) - Fraction(r[f"s_{d}"], r["b"]) ** 2
 
-    for _ in range(levels):
-        found = rows.groupBy("node").agg(F.sum("size").alias("b"), *(F.min(d).alias(f"lo_{d}") for d in dims), *(F.max(d).alias(f"hi_{d}") for d in dims)).collect()
+    levels, tree, whole = len(capacity).bit_length() - 1, {}, {}
+    for level in range(levels):
+        rows = points.withColumn("node", _node(tree, level))
+        found = moments(rows)
         if not found:
             break
-        axis, lo, hi, half, weight = {}, {}, {}, {}, {}
+        whole = whole or {d: variance(found[0], d) for d in dims}
+        axis, lo, hi, goal, weight = {}, {}, {}, {}, {}
         for r in found:
-            spread = {d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / max(1, whole[f"hi_{d}"] - whole[f"lo_{d}"]) for d in dims}
             n = r["node"]
+            spread = {d: variance(r, d) / whole[d] if whole[d] else Fraction(0) for d in dims}
             axis[n] = max(dims, key=lambda d: (spread[d], -dims.index(d)))
-            lo[n], hi[n] = r[f"lo_{axis[n]}"] << (32 + _SUB_BITS), (r[f"hi_{axis[n]}"] + 1) << (32 + _SUB_BITS)
-            half[n], weight[n] = r["b"] / 2, r["b"]
+            lo[n], hi[n] = r[f"lo_{axis[n]}"] << 32, (r[f"hi_{axis[n]}"] + 1) << 32
+            width = 1 << (levels - level)  # leaves below
+            first = (n - (1 << level)) * width
+            left, both = sum(capacity[first : first + width // 2]), sum(capacity[first : first + width])
+            weight[n] = r["b"]
+            goal[n] = r["b"] * left / both if both else Fraction(r["b"], 2)
         at = F.lit(0).cast("long")
         for d in dims:
-            at = F.when(by_node({n: axis[n] == d for n in axis}, "boolean"), place(d)).otherwise(at)
-        open_nodes, cut = set(axis), {}
-        below = dict.fromkeys(axis, 0)
+            at = F.when(F.col("node").isin([n for n in axis if axis[n] == d]), _place(d)).otherwise(at)
+        open_nodes, cut, below = set(axis), {}, dict.fromkeys(axis, 0)
         while open_nodes:
-            # Widths are powers of two, so a bin is a shift.
+            # Widths are powers of two.
             shift = {n: max(0, (hi[n] - lo[n] - 1).bit_length() - (BINS - 1).bit_length()) for n in open_nodes}
-            part = rows.where(F.col("node").isin(sorted(open_nodes))).select("node", "size", at.alias("at"))
-            part = part.where((F.col("at") >= by_node(lo, "long")) & (F.col("at") < by_node(hi, "long")))
-            bins = part.select("node", "size", F.call_function("div", F.col("at") - by_node(lo, "long"), by_node({n: 1 << s for n, s in shift.items()}, "long")).alias("bin"))
-            counted = bins.groupBy("node", "bin").agg(F.sum("size").alias("b")).collect()
+            part = rows.where(F.col("node").isin(sorted(open_nodes))).select("node", "weight", at.alias("at"), by_node({n: lo[n] for n in open_nodes}, "long").alias("lo"))
+            part = part.where((F.col("at") >= F.col("lo")) & (F.col("at") < by_node({n: hi[n] for n in open_nodes}, "long")))
+            bins = part.select("node", "weight", F.call_function("div", F.col("at") - F.col("lo"), by_node({n: 1 << s for n, s in shift.items()}, "long")).alias("bin"))
             table: dict[int, dict[int, int]] = {}
-            for r in counted:
+            for r in bins.groupBy("node", "bin").agg(F.sum("weight").alias("b")).collect():
                 table.setdefault(r["node"], {})[r["bin"]] = r["b"]
             for n in sorted(open_nodes):
                 run = below[n]
                 for b in sorted(table.get(n, {})):
                     w = table[n][b]
                     start, end = lo[n] + (b << shift[n]), lo[n] + ((b + 1) << shift[n])
-                    if run + w >= half[n]:
+                    if run + w >= goal[n]:
                         if shift[n] == 0 or w <= weight[n] * TOLERANCE:
-                            cut[n] = end if run + w - half[n] <= half[n] - run else start
+                            cut[n] = end if run + w - goal[n] <= goal[n] - run else start
                             open_nodes.discard(n)
                         else:
                             lo[n], hi[n], below[n] = start, end, run
@@ -103,9 +144,37 @@ def tree_shards(docs: DataFrame, levels: int = 4, id_col: str = "doc_id", text_c
                 else:
                     cut[n] = hi[n]
                     open_nodes.discard(n)
-        right = (at >= by_node(cut, "long")).cast("int")
-        rows = materialise(rows.withColumn("node", F.col("node") * 2 + right), "points")
-    return rows.select("doc", "size", "crc", F.col("node").alias("shard"))
+        tree |= {n: (axis[n], cut[n]) for n in axis}
+    return tree
+
+
+def tree_shards(docs: DataFrame, levels: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, size, crc, shard) with 2^levels shards."""
+    rows = materialise(metadata(docs, id_col, text_col), "metadata")
+    dims = [c for c in rows.columns if c.startswith("d_")]
+    named = [d for d in dims if d in ("d_lang", "d_source")]
+    many = [F.min(d) != F.max(d) for d in named]
+    mixed = F.lit(False)
+    for m in many:
+        mixed = mixed | m
+    points = rows.groupBy(*_POINT).agg((F.col("size") * F.count(F.lit(1))).alias("weight"), *(F.min(d).alias(d) for d in dims), mixed.alias("mixed"))
+    points = materialise(points, "points")
+    total = points.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("b")).first()["b"]
+    large = sorted(((r["weight"], *(r[c] for c in _POINT)) for r in points.where(F.col("weight") * LARGE > total).collect()), reverse=True)
+    loads, dealt = [0] * (1 << levels), []
+    for w, *point in large:
+        shard = loads.index(min(loads))
+        loads[shard] += w
+        dealt.append((*point, shard))
+    dealt = rows.sparkSession.createDataFrame(dealt, "key long, crc long, size long, dealt int")
+    tree = grow(points.join(F.broadcast(dealt), _POINT, "left_anti"), dims, room(total, loads))
+    # A row takes its point's language and source where the point's rows have several.
+    several = points.where("mixed").select(*_POINT, *(F.col(d).alias(f"p_{d}") for d in named))
+    if named:
+        rows = rows.join(bounded(several), _POINT, "left").withColumns({d: F.coalesce(f"p_{d}", d) for d in named})
+    rows = rows.join(F.broadcast(dealt), _POINT, "left")
+    shard = F.coalesce("dealt", (_node(tree, levels) - (1 << levels)).cast("int"))
+    return materialise(rows.select("doc", "size", "crc", shard.alias("shard")), "sharded")
 
 
 def shards(docs: DataFrame, levels: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -279,12 +279,70 @@ def test_sharding(docs, empty):
     assert shards(empty).count() == 0
 
 
-def test_sharding_is_even(spark):
+def test_sharding_is_even_and_keeps_equal_texts_together(spark):
     from refrain.llm.sharding import shards
 
-    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text " * 12).otherwise(F.concat(F.lit("t"), F.repeat(F.col("id").cast("string"), (F.col("id") % 40 + 1).cast("int")))).alias("text"))
-    sizes = [r.b for r in shards(many).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
-    assert len(sizes) == 16 and max(sizes) < 1.1 * min(sizes)
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, F.concat(F.lit("same text "), (F.col("id") % 2).cast("string"), F.repeat(F.lit(" again"), 11))).otherwise(F.concat(F.lit("t"), F.repeat(F.col("id").cast("string"), (F.col("id") % 40 + 1).cast("int")))).alias("text"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"))
+    rows = shards(many).collect()
+    sizes, places = collections.Counter(), collections.defaultdict(set)
+    for r in rows:
+        sizes[r.shard] += r["size"]
+        places[r["size"], r.text_crc32].add(r.shard)
+    assert len(sizes) == 16 and max(sizes.values()) < 1.1 * min(sizes.values()) and all(len(x) == 1 for x in places.values())
+    # A text that is larger than a shard has one; the others share the rest.
+    hot = many.withColumn("text", F.when(F.col("doc_id") % 3 == 0, "the same text in every third row " * 4).otherwise(F.col("text")))
+    sizes = collections.Counter()
+    for r in shards(hot).collect():
+        sizes[r.shard] += r["size"]
+    rest = sorted(sizes.values())[:-1]
+    assert len(sizes) == 16 and rest[-1] < 1.1 * rest[0] and max(sizes.values()) > 3 * rest[-1]
+
+
+def test_tree_equals_brute_force(spark, monkeypatch):
+    from fractions import Fraction
+
+    from refrain.llm import sharding
+
+    monkeypatch.setattr(sharding, "TOLERANCE", 0)
+    r = random.Random(12)
+    dims = ["d_a", "d_b", "d_c"]
+    for trial in range(3):
+        data = [(r.randint(1, 50), r.getrandbits(32), *(r.randrange(1 << 20) if r.random() < 0.7 else 7 for _ in dims)) for _ in range(120)]
+        capacity = [Fraction(r.randint(1, 9)) for _ in range(8)] if trial else [Fraction(1)] * 8
+        points = spark.createDataFrame(data, "weight long, crc long, " + ", ".join(f"{d} long" for d in dims))
+        tree = sharding.grow(points, dims, capacity)
+        got = collections.Counter((x.weight, x.crc, x.n - 8) for x in points.withColumn("n", sharding._node(tree, 3)).collect())
+
+        def variance(rows, i):
+            w = sum(x[0] for x in rows)
+            v = [(x[0], x[2 + i] >> 10) for x in rows]
+            return Fraction(sum(a * b * b for a, b in v), w) - Fraction(sum(a * b for a, b in v), w) ** 2
+
+        whole = [variance(data, i) for i in range(3)]
+        want = collections.Counter()
+
+        def split(rows, first, width):
+            if not rows:
+                return
+            if width == 1:
+                want.update((x[0], x[1], first) for x in rows)  # noqa: B023
+                return
+            axis = max(range(3), key=lambda i: (variance(rows, i) / whole[i], -i))  # noqa: B023
+            rows = sorted(rows, key=lambda x: (x[2 + axis], x[1]))
+            w = sum(x[0] for x in rows)
+            goal = w * sum(capacity[first : first + width // 2]) / sum(capacity[first : first + width])  # noqa: B023
+            run, cut = 0, len(rows)
+            for i, x in enumerate(rows):
+                if run + x[0] >= goal:
+                    cut = i + 1 if run + x[0] - goal <= goal - run else i
+                    break
+                run += x[0]
+            split(rows[:cut], first, width // 2)
+            split(rows[cut:], first + width // 2, width // 2)
+
+        split(data, 0, 8)
+        assert got == want
+    assert sharding.room(100, [0, 0, 0, 0]) == [25] * 4 and sharding.room(100, [70, 0, 0, 0]) == [0, 10, 10, 10] and sharding.room(100, [20, 30, 0, 0]) == [Fraction(10, 3), 0, Fraction(70, 3), Fraction(70, 3)]
 
 
 def test_language_id(spark, empty):
