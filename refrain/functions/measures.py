@@ -13,6 +13,7 @@ from pyspark.sql import types as Y
 
 _INT, _WORDS = Y.IntegerType(), Y.ArrayType(Y.StringType())
 _PLACE = Y.StructType([*(Y.StructField(c, _INT) for c in ("distance", "start", "end")), Y.StructField("tokens", _WORDS)])
+_OUTCOME = Y.StructType([Y.StructField("outcome", Y.StringType()), Y.StructField("distance", _INT), Y.StructField("span", _WORDS)])
 _PAIR = Y.StructType([Y.StructField("text", _WORDS), Y.StructField("pattern", _WORDS)])
 
 STAR = "*"
@@ -231,24 +232,73 @@ def best_window_distance(a: list[str], b: list[str]) -> int:
 
 
 def align_pattern(pattern: list[str], sentence: list[str]) -> list[str]:
-    """The sentence as a pattern: a token that is the next fixed one stays, tokens before it under a star become stars, others go."""
+    """The sentence as a pattern. Behind the pattern's end every token is a star; the next fixed token stays; under a star a token
+    becomes a star, and the pattern goes on once its next token is the sentence's next one; tokens that fit neither go.
+
+    Where the sentence ends before that look-ahead, what is there already is the result."""
     out, at = [], 0
-    for token in sentence:
-        if at >= len(pattern):
-            break
-        if pattern[at] == token:
+    for i, token in enumerate(sentence):
+        if at == len(pattern):
+            out.append(STAR)
+        elif pattern[at] == token:
             out.append(token)
             at += 1
         elif pattern[at] == STAR:
-            following = pattern[at + 1] if at + 1 < len(pattern) else None
-            if following == token:
-                out.append(token)
-                at += 2
-            else:
-                out.append(STAR)
+            if at + 1 < len(pattern) and i + 1 == len(sentence):
+                break
+            if at + 1 == len(pattern) or pattern[at + 1] == sentence[i + 1]:
+                at += 1
+            out.append(STAR)
     return out
 
 
+def rule(pattern_size: int, text_size: int, bare_size: int, distance: int) -> str:
+    """The outcome of P4 and P5: 'stop' (a quote), 'match' or 'none', from the sizes of both with stop words, the lesser size without, and the
+    distance. Fixed values: the rule's bounds; that of five tokens can't hold."""
+    lp, ls, d = min(pattern_size, text_size), bare_size, distance
+    if ls >= 2 and d == 0:
+        return "stop"
+    near = (lp == 4 and ls == 4 and d <= 1) or (lp == 5 and ls > 5 and d <= 1) or (lp == 6 and ls >= 5 and d <= 1) or (lp > 6 and ls > 3 and d <= 2)
+    return "match" if near else "none"
+
+
+def bare_stems(words: list[str]) -> tuple[list[str], list[int]]:
+    """Stems of the words that are no stop words, and their places."""
+    from refrain.functions.stem import stem
+    from refrain.functions.text import STOP_WORDS
+
+    stop = frozenset(STOP_WORDS)
+    places = [i for i, t in enumerate(words) if t not in stop]
+    return [stem(words[i]) for i in places], places
+
+
+def fuzzy_decision(text: list[str], pattern: list[str]) -> tuple[str, int | None, list[str]]:
+    """(outcome, distance, the words of text from the first to the last one matched)."""
+    one, places = bare_stems(text)
+    two, _ = bare_stems(pattern)
+    if not one or not two:
+        return "none", None, []
+    distance, start, end, _ = approximate_place(one, two, False)
+    outcome = rule(len(pattern), len(text), min(len(one), len(two)), distance)
+    span = text[places[start] : places[end] + 1] if outcome != "none" and start <= end else []
+    return outcome, distance, span
+
+
+def windowed_decision(pattern: list[str], text: list[str]) -> tuple[str, list[str]]:
+    """P5: the rule over each window of text that is as long as pattern, by edit distance: 'stop' at the first quote, else 'match' with
+    the words from the first to the last window accepted, else 'none'."""
+    one, _ = bare_stems(pattern)
+    first, last, width = None, 0, len(pattern)
+    for i in range(len(text) - width + 1):
+        two, _ = bare_stems(text[i : i + width])
+        outcome = rule(width, width, min(len(one), len(two)), edit_distance(one, two))
+        if outcome == "stop":
+            return "stop", []
+        if outcome == "match":
+            first, last = i if first is None else first, i + width
+    return ("none", []) if first is None else ("match", text[first:last])
+
+
 def _over(kernel, *columns: pd.Series) -> pd.Series:
     return pd.Series([kernel(*(c.tolist() if hasattr(c, "tolist") else c for c in row)) for row in zip(*columns, strict=True)])
 
@@ -292,3 +342,22 @@ def window_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(_WORDS)
 def aligned(pattern: pd.Series, sentence: pd.Series) -> pd.Series:
     return _over(align_pattern, pattern, sentence)
+
+
+@F.pandas_udf(_OUTCOME)
+def decided(text: pd.Series, pattern: pd.Series) -> pd.DataFrame:
+    """P4 on columns."""
+    return pd.DataFrame([fuzzy_decision(list(t), list(p)) for t, p in zip(text, pattern, strict=True)], columns=["outcome", "distance", "span"]).astype({"distance": "Int32"})
+
+
+@F.pandas_udf(_OUTCOME)
+def decided_by_windows(pattern: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """P5 on columns."""
+    found = [windowed_decision(list(p), list(t)) for p, t in zip(pattern, text, strict=True)]
+    return pd.DataFrame([(o, None, s) for o, s in found], columns=["outcome", "distance", "span"]).astype({"distance": "Int32"})
+
+
+@F.pandas_udf(_WORDS)
+def bare_stem_array(words: pd.Series) -> pd.Series:
+    """T8 and T9 on token arrays."""
+    return pd.Series([bare_stems(list(w))[0] for w in words])

@@ -84,9 +84,9 @@ def is_year(c: Column) -> Column:
 
 
 def clean_tail(words: Column) -> Column:
-    """Lower-cased; a last token that is a stop word of the short list or a year goes."""
+    """Lower-cased; a last token that is, as written, a stop word of the short list or a year goes."""
     lowered = F.transform(words, F.lower)
-    last = F.element_at(lowered, -1)
+    last = F.get(words, F.size(words) - 1)
     drop = (F.size(lowered) > 0) & (last.isin(*TAIL_STOP_WORDS) | is_year(last))
     return F.when(drop, F.slice(lowered, F.lit(1), F.greatest(F.lit(0), F.size(lowered) - 1))).otherwise(lowered)
 

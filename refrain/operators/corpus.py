@@ -112,5 +112,7 @@ def minhash_candidates(sentences: DataFrame, anchors: DataFrame, id_cols: list[s
 
 
 def line_range(lines: DataFrame, index: int, jump: int) -> DataFrame:
-    """Lines from `index` on while their 1-based number is below jump + index and is not yet `jump`'s stop."""
-    return lines.where((F.col("line_no") >= index) & (F.col("line_no") < jump + index) & (F.col("line_no") <= jump))
+    """Lines from number `index` on (from 1). They end before line `jump` if they begin before it, else after `jump` lines."""
+    first = max(1, index)
+    last = jump - 1 if first < jump else jump + index - 1
+    return lines.where(F.col("line_no").between(first, last))

@@ -35,7 +35,7 @@ def _toks(column: str) -> str:
 
 
 _S, _B = _sents("documents", "doc_id"), _sents("benchmark", "item_id")
-_ANCHORS = f"(select min(doc_id * 1000 + pos) as anchor_id, norm as anchor, {_toks('norm')} as words from {_B} group by norm)"
+_ANCHORS = f"(select min(doc_id * 4294967296 + pos) as anchor_id, norm as anchor, {_toks('norm')} as words from {_B} group by norm)"
 _DF = f"(select token, count(*) as df from (select doc_id, unnest(list_distinct({_toks('lower(text)')})) as token from documents) group by token)"
 _LABELLED = "(select d.doc_id, source, lang, n_chars, quality as label, (n_chars > 1500)::int as pred, round(n_chars / 1000.0, 1) as conf from documents d join labels l on d.doc_id = l.doc_id)"
 
@@ -119,7 +119,7 @@ _WORDS = _toks("text")
 _TAIL = "'by', 'a', 'the', 'is', 'in', 'at', 'was', 'how'"
 
 
-@query(rf"""select item_id, array_to_string(case when lw[-1] in ({_TAIL}) or regexp_matches(lw[-1], '^\d{{2,4}}') then lw[:-2] else lw end, ' ') as cleaned,
+@query(rf"""select item_id, array_to_string(case when w[-1] in ({_TAIL}) or regexp_matches(w[-1], '^\d{{2,4}}') then lw[:-2] else lw end, ' ') as cleaned,
   array_to_string(list_transform(w, lambda t: case when length(t) % 4 = 0 then '1' else '0' end), '') as tags,
   '<START> ' || array_to_string(w, ' ') || ' <STOP>' as wrapped from (select item_id, w, list_transform(w, lambda t: lower(t)) as lw from (select item_id, {_WORDS} as w from benchmark))""")
 def phrase_forms(spark, d):
@@ -278,9 +278,9 @@ def detect_references(spark, d):
     return D.detect(_docs(spark, d), _anchors(spark, d))
 
 
-def _pairs(spark, d):
+def _paired(spark, d, candidates):
     """Candidate sentences, or their windows, as pairs; label: the sentence or window is the anchor or contains it."""
-    rows = _all_candidates(spark, d).join(_anchors(spark, d), "anchor_id").withColumn("cand", T.tokens(F.col("norm")))
+    rows = candidates.join(_anchors(spark, d), "anchor_id").withColumn("cand", T.tokens(F.col("norm")))
     # Sentences far longer than an anchor are scored by the windows of the serving rule: a pair for each.
     whole = F.size("cand") <= F.size("words") + 12
     rows = rows.select("*", F.posexplode(F.when(whole, F.array("cand")).otherwise(corpus.serving_windows(F.col("cand"), F.size("words")))).alias("window", "part"))
@@ -288,12 +288,16 @@ def _pairs(spark, d):
     rows = rows.withColumn("label", said.contains(F.col("anchor")).cast("int")).withColumn("cand", F.col("part"))
     pattern = F.transform("words", lambda t, i: F.when(i % 5 == 4, "*").otherwise(t))
     table = corpus.idf(_frequency(spark, d), _docs(spark, d).count()).select("token", "idf")
-    flat = rows.select("anchor_id", F.posexplode("words").alias("i", "token")).distinct()
+    flat = _anchors(spark, d).select("anchor_id", F.posexplode("words").alias("i", "token"))
     idfs = corpus.idf_of(flat, table).groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("i", "idf"))).alias("l")).select("anchor_id", F.transform("l", lambda s: s["idf"]).alias("anchor_idf"))
     out = rows.join(idfs, "anchor_id").select("norm", "anchor_id", "window", pattern.alias("pattern"), "cand", F.col("words").alias("anchor"), "anchor_idf", "label")
     return out.withColumn("pattern_idf", F.transform("anchor_idf", lambda v, i: F.when(i % 5 == 4, 100.0).otherwise(v)))
 
 
+def _pairs(spark, d):
+    return _paired(spark, d, _all_candidates(spark, d))
+
+
 @query()
 def pair_features(spark, d):
     return features.pair_vector(_pairs(spark, d)).select("norm", "anchor_id", "window", "label", "features")
@@ -320,17 +324,20 @@ def _groups(spark, d):
     return read(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _split_sql(order: str) -> str:
-    return f"""select source, n, case when before < floor(total * 0.5) then 'train' when before < floor(total * 0.75) then 'validation' else 'test' end as split
-  from (select source, n, coalesce(sum(n) over (order by {order} rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over () as total from {_GROUPS})"""
-
-
-@query(_split_sql("md5(source || '|0')"))
+# The first cut point at or past train's target is looked for from the second group on; a shuffle that leaves a part empty is made again.
+@query(f"""with g as (select source, n, s, md5(source || '|' || s) as h from {_GROUPS}, range(0, 20) t(s)),
+  c as (select *, sum(n) over w as cum, row_number() over w as place, sum(n) over (partition by s) as total from g window w as (partition by s order by h, source rows unbounded preceding)),
+  t as (select *, min(case when place > 1 and cum >= total * 0.5 then cum end) over (partition by s) as tr from c),
+  v as (select *, min(case when cum > tr and cum >= total * 0.5 + total * 0.25 and cum - n < total * 0.5 + total * 0.25 then cum end) over (partition by s) as va from t)
+  select source, n, case when cum <= tr then 'train' when cum <= va then 'validation' else 'test' end as split from v where s = (select coalesce(min(s), 0) from v where va < total)""")
 def group_split(spark, d):
-    return splits.group_split(_groups(spark, d), "n", [splits.shuffle_key("source")], 0.5, 0.25).select("source", "n", "split")
+    return splits.group_split(_groups(spark, d), "n", "source", 0.5, 0.25).select("source", "n", "split")
 
 
-@query(_split_sql("n desc, md5(source || '|0')"))
+# Groups fill train until its size is reached, then validation, counted from nothing, until its own is.
+@query(f"""with c as (select source, n, coalesce(sum(n) over (order by n desc, md5(source || '|0') rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over () as total from {_GROUPS}),
+  t as (select *, sum(n) filter (before < total * 0.5) over () as taken from c)
+  select source, n, case when before < total * 0.5 then 'train' when before - taken < total * 0.25 then 'validation' else 'test' end as split from t""")
 def greedy_fill(spark, d):
     return splits.greedy_fill(_groups(spark, d), "n", [splits.shuffle_key("source")], 0.5, 0.25).select("source", "n", "split")
 
@@ -338,7 +345,7 @@ def greedy_fill(spark, d):
 @query(f"""select r.doc_id, r.source, r.label from (select *, row_number() over (partition by source, label order by md5(doc_id::varchar || '|0')) as rn from {_LABELLED}) r
   join (select source, least(count(*) filter (label = 0), count(*) filter (label = 1)) as m from {_LABELLED} group by source) s on r.source = s.source where rn <= m""")
 def balanced_by_source(spark, d):
-    return splits.balance(_labelled(spark, d), "label", ["source"], [splits.shuffle_key("doc_id")]).select("doc_id", "source", "label")
+    return splits.balance(_labelled(spark, d), "label", ["source"], splits.shuffle_key("doc_id")).select("doc_id", "source", "label")
 
 
 @query(f"select doc_id, pos::int as pos, norm from {_S} qualify row_number() over (partition by norm order by doc_id, pos) = 1")
@@ -353,7 +360,7 @@ def triplets(spark, d):
 
 @query("select doc_id from documents order by md5(doc_id::varchar || '|0') limit (select floor(count(*) * 0.3)::bigint from documents)")
 def shuffled_part(spark, d):
-    return splits.part_of(read(spark, d, "documents").select("doc_id"), [splits.shuffle_key("doc_id")], 0.3)
+    return splits.part_of(read(spark, d, "documents").select("doc_id"), "doc_id", 0.3)
 
 
 @query(f"select distinct norm from {_S} except select norm from {_B}")
@@ -480,8 +487,12 @@ def stemmed_vocabulary(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from refrain import form_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from refrain import form_queries  # noqa: F401
+
     return dict(_SQL)

@@ -6,21 +6,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from refrain.functions import measures as M
 from refrain.functions import text as T
 
 
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): lines as they are in the file, numbered from 1 by file.
+
+    A file is read in blocks, however large it is: a line's number is its place in its block, plus the lines of the blocks before. Only the
+    counts of blocks are gathered."""
+    text = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    blocks = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(blocks, ["file", "_block"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value")
+
+
+def _bare(line: Column) -> Column:
+    return F.regexp_replace(line, r"\r$", "")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S7's input: (file, line_no, line), 1-based. A file is one row while it is cut, so numbers need no shuffle."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("n", "line")).select("file", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    """S7's input: (file, line_no, line), numbered from 1."""
+    return _raw_lines(spark, path).select("file", "line_no", _bare(F.col("value")).alias("line"))
 
 
 def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
     """T19's input: lines of files that are UTF-8 or Windows-1252, line by line."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    # Latin-1 keeps every byte, so cutting is safe before decoding.
-    lines = raw.select("file", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), r"\r?\n")).alias("n", "l"))
-    return lines.select("file", (F.col("n") + 1).cast("long").alias("line_no"), T.decoded(F.encode("l", "ISO-8859-1")).alias("line"))
+    return _raw_lines(spark, path).select("file", "line_no", _bare(T.decoded(F.col("value").cast("binary"))).alias("line"))
 
 
 def _fields(c: Column) -> Column:
@@ -44,9 +58,10 @@ def labelled_pairs(spark: SparkSession, path: str, strict: bool = False) -> Data
     good = (F.size("f") == 3) & label.isNotNull()
     clean = F.trim(T.collapse_double_space(F.lower(T.strip_punctuation(F.get("f", F.lit(1))))))
     rows = rows.select("file", "line_no", F.when(good, F.trim(F.get("f", F.lit(0)))).alias("anchor"), F.when(good, clean).alias("cand"), F.when(good, label).alias("label"), F.when(~good, F.col("line")).alias("_corrupt_record"))
-    w = W.partitionBy("anchor", "cand").orderBy("file", "line_no")
-    kept = rows.withColumn("_n", F.row_number().over(w)).where("_corrupt_record is not null or _n = 1").drop("_n", "file")
-    return kept.where("_corrupt_record is null").drop("_corrupt_record") if strict else kept
+    first = rows.where("_corrupt_record is null").groupBy("anchor", "cand").agg(F.min(F.struct("file", "line_no", "label")).alias("_f"))
+    kept = first.select(F.col("_f.line_no").alias("line_no"), "anchor", "cand", F.col("_f.label").alias("label"))
+    bad = rows.where("_corrupt_record is not null").select("line_no", "anchor", "cand", "label", "_corrupt_record")
+    return kept if strict else kept.withColumn("_corrupt_record", F.lit(None).cast("string")).unionByName(bad)
 
 
 def form_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -57,10 +72,11 @@ def form_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_forms(spark: SparkSession, path: str) -> DataFrame:
-    """`pattern ### sentence` with wildcard letters; both cleaned."""
+    """`pattern ### sentence` with wildcard letters; both cleaned (T14, T15), and the sentence as a pattern (M13) beside them."""
     f = F.split("line", "###")
     rows = numbered_lines(spark, path).where(F.size(f) == 2)
-    return rows.select("line_no", T.clean_pattern(T.tokens(F.get(f, F.lit(0)))).alias("pattern"), T.clean_tail(T.tokens(F.get(f, F.lit(1)))).alias("sentence"))
+    rows = rows.select("line_no", T.clean_pattern(T.tokens(F.get(f, F.lit(0)))).alias("pattern"), T.clean_tail(T.tokens(F.get(f, F.lit(1)))).alias("sentence"), F.trim(F.get(f, F.lit(0))).alias("orig_pattern"))
+    return rows.withColumn("tagged", M.aligned("pattern", "sentence"))
 
 
 def tagged_sentences(spark: SparkSession, path: str) -> DataFrame:

@@ -11,8 +11,8 @@ def write_features(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_pairs_by_anchor(pairs: DataFrame, path: str) -> None:
-    """K3: a folder for each anchor; rows of one anchor are brought together first, so that each folder holds few files."""
-    pairs.repartition("anchor_id").write.mode("overwrite").partitionBy("anchor_id").parquet(path)
+    """K3: a folder for each anchor. Rows are brought together by anchor, and a large anchor's are dealt over several tasks by Spark's rebalancing."""
+    pairs.hint("rebalance", "anchor_id").write.mode("overwrite").partitionBy("anchor_id").parquet(path)
 
 
 def write_forms(forms: DataFrame, path: str) -> None:

@@ -20,7 +20,8 @@ def test_text_functions(spark):
     assert _one(spark, T.tokens(s(""))) == []
     assert _one(spark, T.unquote(s("say 'no way' to don't"))) == "say no way to don't"
     assert _one(spark, T.word_tokens(s("I don't [know]"))) == ["I", "do", "n't", "know"]
-    assert _one(spark, T.clean_tail(F.array(s("Born"), s("IN")))) == ["born"]
+    assert _one(spark, T.clean_tail(F.array(s("Born"), s("IN")))) == ["born", "in"]
+    assert _one(spark, T.clean_tail(F.array(s("Born"), s("in")))) == ["born"]
     assert _one(spark, T.clean_tail(F.array(s("Born"), s("1984")))) == ["born"]
     assert _one(spark, T.clean_pattern(F.array(*map(F.lit, ["X", "Y", "Is", "N"])))) == ["*", "is", "*"]
     assert _one(spark, T.pattern_regex(F.array(s("a"), s("*")))) == r"a (\*|\s*\w+\s*)"
@@ -48,10 +49,52 @@ def test_minhash_candidates_are_shared_token_candidates(spark):
     assert corpus.band_shape(0.8)[1] > corpus.band_shape(0.2)[1]
 
 
-def test_split_with_one_large_group(spark):
+def test_greedy_fill_counts_each_part_anew(spark):
+    g = spark.createDataFrame([("a", 60), ("b", 20), ("c", 10), ("d", 10)], "k string, n long")
+    got = {r.k: r.split for r in splits.greedy_fill(g, "n", ["k"], 0.5, 0.25).collect()}
+    assert got == {"a": "train", "b": "validation", "c": "validation", "d": "test"}
     g = spark.createDataFrame([("a", 90), ("b", 5), ("c", 5)], "k string, n long")
     got = {r.k: r.split for r in splits.greedy_fill(g, "n", ["k"], 0.5, 0.25).collect()}
-    assert got == {"a": "train", "b": "test", "c": "test"}
+    assert got == {"a": "train", "b": "validation", "c": "validation"}
+
+
+def test_group_split_follows_the_cut_points(spark):
+    sizes = {"a": 30, "b": 5, "c": 25, "d": 10, "e": 20, "f": 10}
+    got = {r.k: r.split for r in splits.group_split(spark.createDataFrame(list(sizes.items()), "k string, n long"), "n", "k", 0.5, 0.25).collect()}
+    import hashlib
+
+    def cut(seed):
+        keys = sorted(sizes, key=lambda k: hashlib.md5(f"{k}|{seed}".encode()).hexdigest())
+        sums = [sum(sizes[k] for k in keys[: i + 1]) for i in range(len(keys))]
+        last, train, end = sums[0], 0, None
+        for j in sums[1:]:
+            if (last < 50 or last == sums[0]) and j >= 50:
+                train = j
+            elif last < 75 <= j:
+                end = j
+                break
+            last = j
+        if end is None or end == 100 or not train:
+            return None
+        return {k: "train" if c <= train else "validation" if c <= end else "test" for k, c in zip(keys, sums)}
+
+    assert got == next(x for x in map(cut, range(20)) if x)
+    one = spark.createDataFrame([("a", 5)], "k string, n long")
+    assert [r.split for r in splits.group_split(one, "n", "k", 0.5, 0.25).collect()] == ["test"]
+
+
+def test_line_ranges(spark):
+    lines = spark.range(1, 13).withColumnRenamed("id", "line_no")
+    got = lambda i, j: sorted(r.line_no for r in corpus.line_range(lines, i, j).collect())
+    assert got(5, 3) == [5, 6, 7] and got(1, 3) == [1, 2] and got(0, 4) == [1, 2, 3] and got(0, 1) == [] and got(3, 4) == [3]
+
+
+def test_part_of_is_exact(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    import hashlib
+
+    want = sorted(range(1000), key=lambda k: hashlib.md5(f"{k}|0".encode()).hexdigest())[:137]
+    assert sorted(r.k for r in splits.part_of(rows, "k", 0.137).collect()) == sorted(want)
 
 
 def test_metrics_without_positives(spark):
@@ -72,7 +115,28 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r.anchor, r.pattern, r.hover) for r in got] == [("To be", ["to", "be", "*"], "from a play"), ("may it be", ["may", "*", "be"], "another")]
     f = tmp_path / "forms"
     f.write_text("X is the new Y ### orange is the new black in\n")
-    assert readers.raw_forms(spark, str(f)).first().pattern == ["*", "is", "the", "new", "*"]
+    form = readers.raw_forms(spark, str(f)).first()
+    assert form.pattern == ["*", "is", "the", "new", "*"] and form.tagged == ["*", "is", "the", "new", "*"] and form.sentence[-1] == "black"
+    f.write_text("a b c,a * c,a X c\nno,no,\n")
+    assert [tuple(r)[1:] for r in readers.form_examples(spark, str(f)).collect()] == [(["a", "b", "c"], ["a", "*", "c"], "a X c")]
+    f.write_text("a b,a *\n")
+    assert readers.tagged_sentences(spark, str(f)).first().tags == ["0", "1"]
+    f.write_text("a * c,a b c,2,3\n")
+    assert tuple(readers.measure_cases(spark, str(f)).first()) == (["a", "*", "c"], ["a", "b", "c"], 2, 3)
+    f.write_text("[0.5, 1.0]#1#x#y#z#w\n")
+    assert tuple(readers.feature_file(spark, str(f)).first()) == ([0.5, 1.0], 1, "x", "y", "z", "w")
+    (tmp_path / "scripts" / "one").mkdir(parents=True)
+    (tmp_path / "scripts" / "one" / "s.txt").write_text("JOHN\n\n(sighs)\nHi there.\r\n<b>\n")
+    assert [(r.line_no, r.line, r["class"]) for r in readers.script_lines(spark, str(tmp_path / "scripts")).orderBy("line_no").collect()] == [(1, "JOHN", "speaker"), (4, "Hi there.", "speech")]
+    long = tmp_path / "long"
+    long.write_text("".join(f"line {i}\n" for i in range(1, 5001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = readers.numbered_lines(spark, str(long))
+        assert rows.rdd.getNumPartitions() > 1 and rows.where("line = concat('line ', line_no)").count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     a = tmp_path / "annotator"
     a.write_text("a b,a *\na b,* *\n")
     assert readers.annotations(spark, str(a)).first().tags == ["*", "*"]
@@ -91,4 +155,78 @@ def test_stream_answers_each_paragraph(spark, tmp_path):
     q = serve.serve(serve.requests(spark, str(tmp_path / "in")), anchors, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     html = spark.read.json(str(tmp_path / "out")).first().html
-    assert html.startswith("He cried.") and 'data-anchor="7000"' in html
+    assert html.startswith("He cried.") and f'data-anchor="{7 << 32}"' in html
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from refrain.operators import models
+
+    rng = __import__("random").Random(3)
+    rows = [([rng.random(), rng.random()], 0) for _ in range(150)]
+    rows = models.with_vector(spark.createDataFrame([(x, int((x[0] - 0.5) ** 2 + (x[1] - 0.5) ** 2 < 0.08)) for x, _ in rows], "features array<double>, label int"))
+    right = {}
+    for kind, p in (("svm", {"kernel": "linear", "c": 10}), ("svm", {"kernel": "rbf", "c": 1000, "width": 2, "iterations": 60}), ("tree", {"depth": 6}), ("forest", {"depth": 6, "trees": 5})):
+        model = models.classifier(kind, **p).fit(rows)
+        writers.write_model(model, str(tmp_path / "model"))
+        again = models.load_model(str(tmp_path / "model"))
+        one, two = (models.scored(m, rows).select("pred", "margin", "conf").collect() for m in (model, again))
+        assert one == two and all(r.conf == abs(r.margin) and (r.margin > 0) == (r.pred == 1) for r in one if r.margin)
+        right[kind, p.get("kernel")] = metrics.confusion(models.scored(model, rows)).first().accuracy
+    assert right["svm", "rbf"] > right["svm", "linear"] and right["tree", None] > 0.9 and right["forest", None] > 0.9
+    assert models.positive_margins(models.scored(model, rows)).where("margin < 0").count() == 0
+
+
+def test_tagger(spark):
+    import itertools
+    import math
+
+    import numpy as np
+
+    from refrain.operators import tagger
+
+    rng = __import__("random").Random(4)
+    for n in range(1, 7):
+        p = [rng.random() for _ in range(n)]
+        start, steps = np.log([0.7, 0.3]), np.log([[0.6, 0.4], [0.2, 0.8]])
+        score = lambda t: start[t[0]] + sum(math.log(q if x else 1 - q) for q, x in zip(p, t)) + sum(steps[a][b] for a, b in zip(t, t[1:]))  # noqa: B023, E731
+        assert tuple(tagger.likeliest(p, start, steps)) == max(itertools.product((0, 1), repeat=n), key=score)
+    tokens = [(1, 0, "<START>", "<START>", "<START>"), (1, 1, "cats", "NNS", "NONER"), (1, 2, "sleep", "VBP", "odd"), (1, 3, "<STOP>", "<STOP>", "<STOP>")]
+    rows = spark.createDataFrame(tokens, "sent int, pos int, token string, tag string, entity string")
+    vectors = spark.createDataFrame([("cats", [1.0, 2.0])], "token string, vec array<double>")
+    idf = spark.createDataFrame([("sleep", 3.0)], "token string, idf double")
+    got = {r.pos: r.features for r in tagger.token_vectors(rows, vectors, idf, width=2).collect()}
+    assert {len(x) for x in got.values()} == {12 + 12 + 39 + 39 + 2 + 2 + 2}
+    assert got[0][:24] == [1.0] + [0.0] * 11 + [0.0, 1.0] + [0.0] * 10  # the start, and the stop before it
+    assert got[2][:12] == [0.0] * 12 and got[2][-6:] == [0.0, 0.0, 1.0, 2.0, 3.0, 100.0]
+    assert got[2][24 + tagger.POS_TAGS.index("VBP")] == got[2][63 + tagger.POS_TAGS.index("NNS")] == 1.0
+    old = {r.pos: r.features for r in tagger.token_vectors(rows, vectors, idf, width=2, compat=True).collect()}
+    assert old[1][-4:-2] == [1.0, 2.0] and old[1][24] == old[1][63] == 1.0
+    truth = [(s, i, [float(x), 1.0], x) for s in range(40) for i, x in enumerate([0, s % 2, 1, 0])]
+    x = spark.createDataFrame(truth, "sent int, pos int, features array<double>, tag int")
+    found = {r.sent: r.tags for r in tagger.train_tagger(x).tags(x.drop("tag")).collect()}
+    assert found == {s: [0, s % 2, 1, 0] for s in range(40)}
+
+
+def test_serving_with_a_model(spark):
+    from refrain.operators import models
+    from refrain.plans import detect as D
+
+    catalogue = spark.createDataFrame([(1, "winter is coming".split(), "winter is *".split(), "from a book"), (2, "summer is over".split(), "summer is *".split(), "a song")], "anchor_id long, words array<string>, pattern array<string>, hover string")
+    docs = spark.createDataFrame([(1, "Winter is coming. Nobody knows. So they say summer is nearly over now."), (2, "Quiet.")], "doc_id long, text string")
+    idf = spark.createDataFrame([("winter", 4.0)], "token string, idf double")
+
+    class Quotes:
+        """Says yes where the anchor's first word stands in the window."""
+
+        def transform(self, rows):
+            from pyspark.ml.functions import array_to_vector
+
+            yes = F.array_contains("cand", F.get("anchor", F.lit(0))).cast("double")
+            return rows.withColumn("prediction", yes).withColumn("rawPrediction", array_to_vector(F.array(-yes, yes)))
+
+    got = {r.doc_id: r.html for r in D.serve(docs, catalogue, idf, Quotes()).collect()}
+    tip = lambda sent, hover: f"<div class='tooltip'>{sent} <span class='tooltiptext'> {hover} </span></div>"
+    assert got == {1: tip("Winter is coming.", "from a book") + " Nobody knows." + tip(" So they say summer is nearly over now.", "a song"), 2: "Quiet."}
+    pairs = D.serving_pairs(docs, catalogue, idf).collect()
+    assert sorted((r.anchor_id, r.window, len(r.cand)) for r in pairs) == [(1, 0, 3), (2, 0, 5), (2, 1, 5), (2, 2, 5), (2, 3, 5)] and pairs[0].pattern_idf[2] == 100.0
+    assert models.with_vector(__import__("refrain.operators.features", fromlist=["x"]).pair_vector(D.serving_pairs(docs, catalogue, idf))).count() == 5

@@ -46,7 +46,29 @@ def test_wildcards_golden():
     assert M.drop_wildcards("say * my".split(), "say my".split(), 1) == (["say", "my", "my"], ["say", "my"])
     assert M.run_with_wildcards("hello * my".split(), say, 1) == 3
     assert M.subsequence_with_wildcards("say * friend".split(), say, 0) == 2
-    assert M.align_pattern("say * to".split(), "say good day to you".split()) == ["say", "*", "*", "to"]
+
+
+def test_alignment_golden():
+    align = lambda p, s: M.align_pattern(p.split(), s.split())
+    assert align("say * to", "say good day to you") == ["say", "*", "*", "to", "*"]
+    assert align("say * to", "say to you to") == ["say", "*", "*", "to"]
+    assert align("the *", "the end of it") == ["the", "*", "*", "*"]
+    assert align("a * b", "a x") == ["a"]  # the look-ahead runs off the end
+    assert align("a b", "x a y b") == ["a", "b"]
+    assert align("", "a b") == ["*", "*"]
+
+
+def test_decision_rules():
+    rows = [("four words stay here", "four words stay here"), ("completely other things", "four words stay"), ("brave knights seldom ride dragons over frozen mountains", "brave knights seldom ride horses over frozen mountains")]
+    assert [M.fuzzy_decision(a.split(), b.split())[0] for a, b in rows] == ["stop", "none", "match"]
+    text = "yesterday brave knights often ride dragons over frozen mountains tomorrow"
+    outcome, distance, span = M.fuzzy_decision(text.split(), "brave knights seldom ride dragons over frozen mountains".split())
+    assert (outcome, distance, span) == ("match", 1, text.split()[1:9])
+    assert M.fuzzy_decision(["the"], ["of"]) == ("none", None, [])
+    # Sizes with stop words decide which bound holds: four words of which one is a stop word have three left.
+    assert M.rule(4, 9, 3, 1) == "none" and M.rule(4, 9, 4, 1) == "match" and M.rule(5, 9, 5, 1) == "none" and M.rule(7, 9, 4, 2) == "match" and M.rule(6, 9, 5, 1) == "match"
+    assert M.windowed_decision("brave knights seldom ride dragons over frozen mountains".split(), text.split()) == ("match", text.split()[1:9])
+    assert M.windowed_decision("frozen mountains".split(), text.split())[0] == "stop" and M.windowed_decision(["too", "long"], ["one"]) == ("none", [])
 
 
 def test_run_with_replacements():
@@ -67,6 +89,32 @@ def test_columns_equal_kernels(spark):
         assert r.m == sum(min(r.a.count(t), r.b.count(t)) for t in set(r.b))
 
 
+def test_measures_against_slow_rewrites():
+    """M4 by its table as written down, M2 by all windows, M5's budget of two and more by its walk back, M6 to M10 by small cases."""
+    for text, pattern in _pairs(200, 7, star=True):
+        table = {(0, j): 0 for j in range(len(text) + 1)} | {(i, 0): i for i in range(1, len(pattern) + 1)}
+        for i, p in enumerate(pattern, 1):
+            starred = False
+            for j, t in enumerate(text, 1):
+                diagonal, left, up = table[i - 1, j - 1], table[i, j - 1], table[i - 1, j]
+                if t == p:
+                    table[i, j] = diagonal
+                elif p == "*" and j >= i:
+                    least = min(diagonal, left, up)
+                    table[i, j] = (least + (diagonal > least and left > least)) if starred else diagonal
+                    starred = True
+                else:
+                    table[i, j] = 1 + min(diagonal, left, up)
+        assert M.approximate_place(text, pattern, True)[0] == min(table[len(pattern), j] for j in range(1, len(text) + 1))
+    for x, y in _pairs(100, 8):
+        stems = [stem(t) for t in x], [stem(t) for t in y]
+        best = _distance(*map(tuple, stems)) if len(x) > len(y) else min(_distance(tuple(stems[0]), tuple(stems[1][i : i + len(x)])) for i in range(len(y) - len(x) + 1))
+        assert M.best_window_distance(x, y) == best
+        unequal = [[a != b for a, b in zip(x[i:], y[j:])] for i in range(len(x)) for j in range(len(y))]
+        assert M.run_with_replacements(x, y, 9) == max(len(d) for d in unequal)
+        assert M.run_with_replacements(x, y, 0) == M.common_run(x, y)
+
+
 def test_empty_arrays(spark):
     rows = spark.createDataFrame([([], ["a", "b"]), (["a"], []), ([], [])], "a array<string>, b array<string>")
     got = rows.select(M.levenshtein(F.col("a"), F.col("b")).alias("l"), M.common_subsequence(F.col("a"), F.col("b")).alias("c")).collect()
