@@ -13,31 +13,53 @@ from pyspark.sql import functions as F
 
 #: Rows of narrow ids that may be broadcast (16 to 32 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-FILES_PER_CORE = 4
+FILES_PER_CORE, MERGED = 6, 4
 #: Bytes of text that are hashed in one vectorised go.
 CHUNK_BYTES = 1 << 20
 
 
+_own_dirs: dict[str, str] = {}
+_leaving: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """A folder of this application below the one that driver and executors share, spark.checkpoint.dir; it goes when the application ends.
+
+    Only on one machine (master local[...], as in tests) a temporary folder serves where that is unset; on a cluster it is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="refrain-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if sc.applicationId not in _own_dirs:
+            _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="refrain-")
+        found = _own_dirs[sc.applicationId]
+    path = f"{found.rstrip('/')}/refrain-{sc.applicationId}"
+    if path not in _leaving:
+        _leaving.add(path)
+        jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables written so far, once no DataFrame of this library is to be read again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """df in no more partitions than FILES_PER_CORE for each core of the cluster, so that no table comes in thousands of tiny files."""
-    return df.coalesce(max(1, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+    """df with no more than MERGED partitions of a shuffle read by one task, as long as FILES_PER_CORE tasks are left for each core: a
+    small table doesn't come in thousands of tiny files, a large one keeps its tasks."""
+    spark = df.sparkSession
+    tasks = max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGED)
+    return df.coalesce(max(1, tasks))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     few_files(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,8 @@ the two texts have in common (their Jaccard similarity), so it sees moved and ed
 
 Defined results: a null text counts as empty; the empty text has hash 0 and no sketch, is like another empty text (1) and unlike
 any other (0). Rows with equal ids are ordered by their text; repeated rows follow each other. A null id comes last. A single row
-is its own next one. An empty table gives an empty table. Columns of the input other than the two named are not read.
+is its own next one. An empty table gives an empty table. The id must be of an integer type. Memory follows one Arrow batch and about 100 bytes for
+each code point of the two longest texts that follow each other; rows that share an id, and those without one, are streamed by one task. Columns of the input other than the two named are not read.
 """
 
 from __future__ import annotations

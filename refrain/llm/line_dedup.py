@@ -3,8 +3,7 @@
 Built-in functions only. A line is known by the hash of its text without white space at both ends; lines without a word don't count.
 A HyperLogLog sketch of the sites is made for every line and merged by the aggregate; lines whose estimate is near the threshold
 are counted exactly. A line on MIN_SITES sites or more is boilerplate: it stays where it stands first (smallest id, then place) and
-goes everywhere else, whatever share of a document that is. Only with spare=True, as the SQL of op5_line_dedup has it, is a
-document left as it is that would lose over half its characters.
+goes everywhere else, whatever share of a document that is. Two lines count as one where their 64-bit hashes are equal.
 
 Defined results: a null text stays null and an empty one empty; a null site is no site; a null id is an id of its own, after all
 others; rows with one id count as one document (where a boilerplate line stands first in it, each of them keeps it); repeated rows
@@ -49,7 +48,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return good.select("key", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
 
-def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", spare: bool = False) -> DataFrame:
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs with the text cleaned, and two columns more: its lines and how many of them went."""
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with those made here
     docs, id_col, site_col, text_col = docs.toDF(*own.values()), own[id_col], own[site_col], own[text_col]
@@ -60,10 +59,9 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     text = F.col(text_col).cast("string")
     joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("doc")), "left").withColumn("all", _lines(text))
     kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("drop"))
-    joined = joined.withColumn("new", F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n")))
-    joined = joined.withColumn("fine", F.col("drop").isNotNull() & (F.lit(not spare) | (2 * (F.char_length(text) - F.char_length("new")) <= F.char_length(text))))
-    rest = [F.when(F.col("fine"), F.col("new")).otherwise(text).alias(c) if n == text_col else F.col(n).alias(c) for c, n in own.items()]
-    return joined.select(*rest, F.coalesce(F.size("all"), F.lit(0)).cast("long").alias(n_lines), F.when(F.col("fine"), F.size("drop")).otherwise(F.lit(0)).cast("long").alias(n_dropped))
+    new = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n"))
+    rest = [new.alias(c) if n == text_col else F.col(n).alias(c) for c, n in own.items()]
+    return joined.select(*rest, F.coalesce(F.size("all"), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias(n_dropped))
 
 
 ORACLE = """
@@ -79,15 +77,5 @@ with l as (
          array_to_string([x for x, i in string_split(t.text, chr(10)) if not list_contains(d.gone, i - 1)], chr(10)) as cleaned
   from documents t left join d on t.doc_id = d.doc_id
 )
-select doc_id,
-  case when gone is not null and 2 * (length(text) - length(cleaned)) <= length(text) then cleaned else text end as text,
-  coalesce(len(lines), 0) as n_lines,
-  case when gone is not null and 2 * (length(text) - length(cleaned)) <= length(text) then len(gone) else 0 end as n_dropped
-from n
+select doc_id, case when gone is not null then cleaned else text end as text, coalesce(len(lines), 0) as n_lines, coalesce(len(gone), 0) as n_dropped from n
 """
-
-#: The same without the exception for documents that would lose over half their characters.
-ORACLE_WHOLE = (
-    ORACLE[: ORACLE.rindex("select doc_id,")]
-    + "select doc_id, case when gone is not null then cleaned else text end as text, coalesce(len(lines), 0) as n_lines, coalesce(len(gone), 0) as n_dropped from n"
-)
