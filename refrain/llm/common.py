@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of narrow ids that may be broadcast (16 to 32 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-FILES_PER_CORE, MERGED = 6, 4
+FILES_PER_CORE, MERGED, ROWS_PER_TASK = 6, 4, 20_000
 #: Bytes of text that are hashed in one vectorised go.
 CHUNK_BYTES = 1 << 20
 
@@ -48,19 +48,25 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def few_files(df: DataFrame) -> DataFrame:
+def few_files(df: DataFrame, rows: int | None = None, least: int = 1) -> DataFrame:
     """df with no more than MERGED partitions of a shuffle read by one task, as long as FILES_PER_CORE tasks are left for each core: a
-    small table doesn't come in thousands of tiny files, a large one keeps its tasks."""
+    small table doesn't come in thousands of tiny files, a large one keeps its tasks.
+
+    rows: at most so many narrow rows are known to come, so a task for every ROWS_PER_TASK does; least: tasks for each core even then,
+    where making the rows is work."""
     spark = df.sparkSession
-    tasks = max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGED)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(FILES_PER_CORE * cores, int(spark.conf.get("spark.sql.shuffle.partitions")) // MERGED)
+    if rows is not None:
+        tasks = min(tasks, max(1 + rows // ROWS_PER_TASK, least * cores if least > 1 else 1))
     return df.coalesce(max(1, tasks))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int | None = None, least: int = 1) -> DataFrame:
     """Write df as Parquet under the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    few_files(df).write.parquet(path)
+    few_files(df, rows, least).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
