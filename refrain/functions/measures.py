@@ -80,19 +80,27 @@ def approximate_place(text: list[str], pattern: list[str], wildcards: bool) -> t
     """
     cost, start = [0] * (len(text) + 1), list(range(len(text) + 1))
     for i, p in enumerate(pattern, 1):
-        row, origin, starred = [i], [0], False
-        for j, t in enumerate(text, 1):
-            ways = ((cost[j - 1], start[j - 1]), (row[j - 1], origin[j - 1]), (cost[j], start[j]))
-            pick = min(range(3), key=lambda k: ways[k][0])
+        row, origin, open_star, starred = [i], [0], wildcards and p == STAR, False
+        for j, t in enumerate(text):
+            diagonal, left, up = cost[j], row[j], cost[j + 1]
             if t == p:
-                value, pick = cost[j - 1], 0
-            elif wildcards and p == STAR and j >= i:
-                value, pick = (ways[pick][0] + (pick == 2), pick) if starred else (cost[j - 1], 0)
-                starred = True
+                row.append(diagonal)
+                origin.append(start[j])
+                continue
+            if diagonal <= left and diagonal <= up:
+                least, begin, above = diagonal, start[j], False
+            elif left <= up:
+                least, begin, above = left, origin[j], False
             else:
-                value = ways[pick][0] + 1
-            row.append(value)
-            origin.append(ways[pick][1])
+                least, begin, above = up, start[j + 1], True
+            if not open_star or j + 1 < i:
+                row.append(least + 1)
+            elif starred:
+                row.append(least + above)
+            else:
+                row.append(diagonal)
+                begin, starred = start[j], True
+            origin.append(begin)
         cost, start = row, origin
     if not text or not pattern:
         return len(pattern), 0, -1, []
@@ -184,21 +192,28 @@ def drop_wildcards(pattern: list[str], text: list[str], budget: int) -> tuple[li
 
 def common_run(x: list[str], y: list[str]) -> int:
     """The longest run of tokens that both have."""
-    best, row = 0, [0] * (len(y) + 1)
+    places: dict[str, list[int]] = {}
+    for j, b in enumerate(y):
+        places.setdefault(b, []).append(j)
+    best, row = 0, {}
     for a in x:
-        row = [0, *(row[j] + 1 if a == b else 0 for j, b in enumerate(y))]
-        best = max(best, max(row))
+        row = {j: row.get(j - 1, 0) + 1 for j in places.get(a, ())}
+        if row:
+            best = max(best, max(row.values()))
     return best
 
 
 def subsequence_length(x: list[str], y: list[str]) -> int:
-    row = [0] * (len(y) + 1)
+    """The longest common subsequence, a bit for each token of y."""
+    masks: dict[str, int] = {}
+    for j, b in enumerate(y):
+        masks[b] = masks.get(b, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    rows = full
     for a in x:
-        new = [0]
-        for j, b in enumerate(y):
-            new.append(row[j] + 1 if a == b else max(row[j + 1], new[j]))
-        row = new
-    return row[-1]
+        hit = rows & masks.get(a, 0)
+        rows = (rows + hit | rows - hit) & full
+    return len(y) - rows.bit_count()
 
 
 def run_with_wildcards(pattern: list[str], text: list[str], budget: int) -> int:
@@ -211,6 +226,23 @@ def subsequence_with_wildcards(pattern: list[str], text: list[str], budget: int)
     return subsequence_length(fill_wildcards(pattern, text, budget), text)
 
 
+def pair_numbers(pattern: list[str], cand: list[str], anchor: list[str], budgets: tuple[int, ...]) -> list[float]:
+    """The measures of F1: M4 of pattern and anchor by their lengths, then M9 and M10 of both for each budget, by the pattern's length."""
+    out = [approximate_place(cand, p, True)[0] / len(p) for p in (pattern, anchor)]
+    filled = [[fill_wildcards(p, cand, r) for r in budgets] if STAR in p else [p] for p in (pattern, anchor)]
+    for measure in (common_run, subsequence_length):
+        for many in filled:
+            found = {}
+            for f in many:
+                key = tuple(f)
+                if key not in found:
+                    found[key] = measure(f, cand)
+                out.append(found[key])
+            if len(many) < len(budgets):
+                out += [out[-1]] * (len(budgets) - 1)
+    return out
+
+
 def edit_distance(a: list[str], b: list[str]) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -361,3 +393,16 @@ def decided_by_windows(pattern: pd.Series, text: pd.Series) -> pd.DataFrame:
 def bare_stem_array(words: pd.Series) -> pd.Series:
     """T8 and T9 on token arrays."""
     return pd.Series([bare_stems(list(w))[0] for w in words])
+
+
+@F.pandas_udf(Y.ArrayType(Y.DoubleType()))
+def pair_measures(pattern: pd.Series, cand: pd.Series, anchor: pd.Series) -> pd.Series:
+    """pair_numbers on columns with budgets 0 to 3; equal windows of a batch are measured once."""
+    known: dict[tuple, list[float]] = {}
+    out = []
+    for p, c, a in zip(pattern, cand, anchor, strict=True):
+        key = tuple(p), tuple(c), tuple(a)
+        if key not in known:
+            known[key] = [float(x) for x in pair_numbers(*map(list, key), (0, 1, 2, 3))]
+        out.append(known[key])
+    return pd.Series(out)

@@ -230,3 +230,35 @@ def test_serving_with_a_model(spark):
     pairs = D.serving_pairs(docs, catalogue, idf).collect()
     assert sorted((r.anchor_id, r.window, len(r.cand)) for r in pairs) == [(1, 0, 3), (2, 0, 5), (2, 1, 5), (2, 2, 5), (2, 3, 5)] and pairs[0].pattern_idf[2] == 100.0
     assert models.with_vector(__import__("refrain.operators.features", fromlist=["x"]).pair_vector(D.serving_pairs(docs, catalogue, idf))).count() == 5
+
+
+def test_pair_vector_values(spark):
+    """Each of the 122 numbers by hand."""
+    from refrain.functions import measures as M
+    from refrain.operators import features
+
+    rng = __import__("random").Random(9)
+    data = []
+    for i in range(40):
+        anchor = [rng.choice("abcdefg") for _ in range(rng.randint(1, 16))]
+        pattern = ["*" if rng.random() < 0.3 else t for t in anchor]
+        cand = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 18))]
+        idf = {t: rng.choice([0.0, 2.5, 7.25, 100.0]) for t in "abcdefg"} | {"*": 100.0}
+        data.append((i, pattern, cand, anchor, [idf[t] for t in pattern], [idf[t] for t in anchor]))
+    rows = spark.createDataFrame(data, "i int, pattern array<string>, cand array<string>, anchor array<string>, pattern_idf array<double>, anchor_idf array<double>")
+    got = {r.i: r.features for r in features.pair_vector(rows).collect()}
+    hot = lambda v, n: [float(k == min(v, n - 1)) for k in range(n)]
+
+    def contained(words, idf, cand):
+        left, found = list(cand), []
+        for t, v in zip(words, idf):
+            if t in left:
+                left.remove(t)
+                found.append(min(v, 10.0))
+        mean, top = (sum(found) / len(found) if found else 0.0), (sorted(found, reverse=True) + [0.0] * 14)[:14]
+        return [*hot(len(found), 8), mean, mean, *top, *top]
+
+    for i, p, c, a, pi, ai in data:
+        want = [M.approximate_place(c, p, True)[0] / len(p), M.approximate_place(c, a, True)[0] / len(a), *hot(len(p), 14), *hot(len(a), 14), *contained(p, pi, c), *contained(a, ai, c)]
+        want += [f(w, c, r) / len(p) for f in (M.run_with_wildcards, M.subsequence_with_wildcards) for w in (p, a) for r in range(4)]
+        assert len(want) == len(got[i]) == 122 and all(abs(x - y) < 1e-9 for x, y in zip(want, got[i]))
