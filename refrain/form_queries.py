@@ -97,7 +97,8 @@ def detect_by_windows(spark, d):
 
 
 def _labelled_pairs(spark, d):
-    """Pairs with three common tokens or more, as whole sentences up to 12 tokens over the anchor and as windows beyond."""
+    """What models are fitted on: pairs with three common tokens or more, as whole sentences up to 12 tokens over the anchor and as windows
+    beyond. The bound of three is a parameter of the fit; pair_features makes the numbers of all pairs."""
     return models.with_vector(features.pair_vector(_paired(spark, d, _candidates(spark, d))).select("norm", "anchor_id", "window", "label", "features"))
 
 
@@ -123,6 +124,12 @@ def _grid_query(spark, d, kind: str, points: list[dict]):
     return spark.createDataFrame([(i, str(p), m["tp"], m["fp"], m["fn"], m["tn"], m["accuracy"]) for i, (p, m) in enumerate(found)], "place int, point string, tp long, fp long, fn long, tn long, accuracy double")
 
 
+@query()
+def classifier_grid(spark, d):
+    """a small grid of trees: one row a point with its measures on the validation part."""
+    return _grid_query(spark, d, "tree", models.grid({"depth": [2, 4], "split": [2]}))
+
+
 @query()
 def support_vector_grid(spark, d):
     """one point for each kernel."""

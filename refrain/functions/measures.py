@@ -395,14 +395,33 @@ def bare_stem_array(words: pd.Series) -> pd.Series:
     return pd.Series([bare_stems(list(w))[0] for w in words])
 
 
-@F.pandas_udf(Y.ArrayType(Y.DoubleType()))
-def pair_measures(pattern: pd.Series, cand: pd.Series, anchor: pd.Series) -> pd.Series:
-    """pair_numbers on columns with budgets 0 to 3; equal windows of a batch are measured once."""
-    known: dict[tuple, list[float]] = {}
+def contained(words: list[str], values: list[float], cand: list[str], cap: float) -> tuple[list[float], list[float]]:
+    """The capped values of the words that stand in cand, each place of cand used once, and of those that don't."""
+    left: dict[str, int] = {}
+    for t in cand:
+        left[t] = left.get(t, 0) + 1
+    found, missed = [], []
+    for t, v in zip(words, values, strict=True):
+        if left.get(t, 0) > 0:
+            left[t] -= 1
+            found.append(min(v, cap))
+        else:
+            missed.append(min(v, cap))
+    return found, missed
+
+
+_NUMBERS = Y.ArrayType(Y.DoubleType())
+
+
+@F.pandas_udf(Y.StructType([Y.StructField(c, _NUMBERS) for c in ("numbers", "pattern_found", "pattern_missed", "anchor_found", "anchor_missed")]))
+def pair_measures(pattern: pd.Series, cand: pd.Series, anchor: pd.Series, pattern_idf: pd.Series, anchor_idf: pd.Series) -> pd.DataFrame:
+    """pair_numbers on columns with budgets 0 to 3, and M11 of pattern and anchor with idfs of 10 at most; equal windows of a batch are measured once."""
+    known: dict[tuple, tuple] = {}
     out = []
-    for p, c, a in zip(pattern, cand, anchor, strict=True):
-        key = tuple(p), tuple(c), tuple(a)
+    for row in zip(pattern, cand, anchor, pattern_idf, anchor_idf, strict=True):
+        key = tuple(map(tuple, row))
         if key not in known:
-            known[key] = [float(x) for x in pair_numbers(*map(list, key), (0, 1, 2, 3))]
+            p, c, a, pi, ai = map(list, key)
+            known[key] = ([float(x) for x in pair_numbers(p, c, a, (0, 1, 2, 3))], *contained(p, pi, c, 10.0), *contained(a, ai, c, 10.0))
         out.append(known[key])
-    return pd.Series(out)
+    return pd.DataFrame(out, columns=["numbers", "pattern_found", "pattern_missed", "anchor_found", "anchor_missed"])

@@ -303,18 +303,6 @@ def pair_features(spark, d):
     return features.pair_vector(_pairs(spark, d)).select("norm", "anchor_id", "window", "label", "features")
 
 
-@query()
-def classifier_grid(spark, d):
-    """A small grid of trees: one row a point with its measures on the validation part."""
-    from refrain.operators import models
-
-    rows = models.with_vector(features.pair_vector(_pairs(spark, d)).select("norm", "label", "features")).cache()
-    mark = F.pmod(F.crc32(F.col("norm").cast("binary")), F.lit(4))
-    found = models.grid_search(rows.where(mark > 0), rows.where(mark == 0), "tree", models.grid({"depth": [2, 4], "split": [2]}))
-    rows.unpersist()
-    return spark.createDataFrame([(p["depth"], p["split"], m["tp"], m["fp"], m["fn"], m["tn"], m["accuracy"]) for p, m in found], "depth int, split int, tp long, fp long, fn long, tn long, accuracy double")
-
-
 # --- splits -------------------------------------------------------------------------------------------------------------
 
 _GROUPS = "(select source, count(*) as n from documents group by source)"
