@@ -149,6 +149,14 @@ def feature_weights(spark, d):
     return spark.createDataFrame([(i, n, float(w)) for i, (n, w) in enumerate(models.importances(model))], "place int, number int, weight double")
 
 
+@query("select 'late' as part, doc_id as line_no from documents where doc_id between 100 and 139 union all select 'early', doc_id from documents where doc_id between 1 and 49")
+def line_ranges(spark, d):
+    """Lines from 100 on, 40 of them; lines from 1 on, which end before line 50. Documents stand for lines."""
+    lines = _docs(spark, d).select(F.col("doc_id").alias("line_no"))
+    parts = [corpus.line_range(lines, i, j).select(F.lit(n).alias("part"), "line_no") for n, i, j in (("late", 100, 40), ("early", 1, 50))]
+    return parts[0].unionByName(parts[1])
+
+
 # --- metrics of runs ----------------------------------------------------------------------------------------------------
 
 

@@ -76,7 +76,9 @@ def serving_windows(words: Column, anchor_size: Column) -> Column:
 
 def minhash(words: Column, permutations: int = 128) -> Column:
     """For each of the seeds the least seeded hash of the token set."""
-    return F.transform(F.sequence(F.lit(1), F.lit(permutations)), lambda seed: F.array_min(F.transform(F.array_distinct(words), lambda t: F.xxhash64(t, seed))))
+    seeds = F.sequence(F.lit(1), F.lit(permutations))
+    signature = lambda own: F.transform(seeds, lambda seed: F.array_min(F.transform(own, lambda t: F.xxhash64(t, seed))))
+    return F.get(F.transform(F.array(F.array_distinct(words)), signature), F.lit(0))  # the distinct tokens are found once
 
 
 def band_shape(threshold: float, permutations: int = 128) -> tuple[int, int]:

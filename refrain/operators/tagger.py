@@ -1,4 +1,4 @@
-"""The form tagger's side: F5 to F8, F10, F11, F15, F22, J5, J9, A4, U2.
+"""The form tagger's side: F5 to F11, F15, F22, J5, J9, A4, U2.
 
 Taggers and pretrained vectors aren't part of it: part-of-speech tags, entity labels and word vectors enter as columns and tables. A linear
 classifier for each token with Viterbi over two tags stands for the recurrent network.
@@ -57,6 +57,21 @@ def token_vectors(tokens: DataFrame, vectors: DataFrame, idf: DataFrame, width:
     return last.select("sent", "pos", F.concat(*(p.cast("array<double>") for p in parts)).alias("features"))
 
 
+def named_features(tokens: DataFrame, vectors: DataFrame, idf: DataFrame, width: int = WORD_WIDTH) -> DataFrame:
+    """(sent, pos, features): a map from names to numbers or tags, as text: idf, tag and place of a word, idf and tag of the two words before,
+    the vectors of the word and of the one before. tokens: sent, pos, token, tag."""
+    rows = corpus.idf_of(vectors_of(tokens, vectors, width), idf)
+    w = W.partitionBy("sent").orderBy("pos")
+    rows = rows.withColumns({f"{c}_{k}": F.lag(c, k).over(w) for c in ("idf", "tag", "vec") for k in (1, 2)})
+    named = lambda name, vec: F.map_from_entries(F.transform(vec, lambda v, i: F.struct(F.concat(F.lit(name), i.cast("string")).alias("k"), v.cast("string").alias("v"))))
+    text = lambda c: F.col(c).cast("string")
+    pairs = [("cur_idf", text("idf")), ("loc", text("pos")), ("cur_pos_tag", F.col("tag")), ("is_first", F.col("idf_1").isNull().cast("string")), ("prev_idf", text("idf_1")), ("prev_pos_tag", F.col("tag_1"))]
+    pairs += [("is_second", (F.col("idf_1").isNotNull() & F.col("idf_2").isNull()).cast("string")), ("back2__idf", text("idf_2")), ("back_2_pos_tag", F.col("tag_2"))]
+    known = F.map_filter(F.create_map(*(x for k, v in pairs for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    before = F.coalesce("vec_1", F.array_repeat(F.lit(0.0), width))
+    return rows.select("sent", "pos", F.map_concat(known, named("cur_word_w2v", F.col("vec")), named("prev_word_w2v", before)).alias("features"))
+
+
 def padded(values: Column, length: int = SEQUENCE, fill: float = 0.0) -> Column:
     """a sequence cut or filled to a length."""
     return features.fit_length(values.cast("array<double>"), length, fill)

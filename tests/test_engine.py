@@ -158,6 +158,23 @@ def test_stream_answers_each_paragraph(spark, tmp_path):
     assert html.startswith("He cried.") and f'data-anchor="{7 << 32}"' in html
 
 
+def test_sinks(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    words = spark.createDataFrame([("a", 3), ("b", 1), ("c", 1)], "token string, df long")
+    writers.write_word_counts(words, at("counts"))
+    assert [tuple(r) for r in spark.read.parquet(at("counts")).collect()] == [("b", 1), ("c", 1), ("a", 3)]
+    writers.write_side_outputs(words.select("token"), spark.createDataFrame([("a line",)], "line string"), at("side"))
+    assert spark.read.parquet(at("side/word_map")).count() == 3 and spark.read.parquet(at("side/caught_lines")).first().line == "a line"
+    pairs = spark.createDataFrame([(i % 2, f"c{i}", 1) for i in range(10)], "anchor_id long, cand string, label int")
+    writers.write_pairs_by_anchor(pairs, at("pairs"))
+    back = spark.read.parquet(at("pairs"))
+    assert back.count() == 10 and back.where("anchor_id = 1").count() == 5 and {x for x in os.listdir(at("pairs")) if "=" in x} == {"anchor_id=0", "anchor_id=1"}
+    writers.write_forms(spark.createDataFrame([(["x", "y"], ["x", "*"])], "sentence array<string>, pattern array<string>"), at("forms"))
+    assert tuple(spark.read.csv(at("forms")).first()) == ("x y", "x *")
+    writers.write_report(words, at("report"))
+    assert spark.read.parquet(at("report")).count() == 3
+
+
 def test_models_are_saved_and_loaded(spark, tmp_path):
     from refrain.operators import models
 
@@ -201,6 +218,9 @@ def test_tagger(spark):
     assert got[2][24 + tagger.POS_TAGS.index("VBP")] == got[2][63 + tagger.POS_TAGS.index("NNS")] == 1.0
     old = {r.pos: r.features for r in tagger.token_vectors(rows, vectors, idf, width=2, compat=True).collect()}
     assert old[1][-4:-2] == [1.0, 2.0] and old[1][24] == old[1][63] == 1.0
+    named = {r.pos: r.features for r in tagger.named_features(rows, vectors, idf, width=2).collect()}
+    assert named[2]["cur_idf"] == "3.0" and named[2]["prev_pos_tag"] == "NNS" and named[2]["back_2_pos_tag"] == "<START>" and named[2]["prev_word_w2v1"] == "2.0" and named[2]["is_second"] == "false"
+    assert named[0]["is_first"] == "true" and "prev_idf" not in named[0] and named[1]["is_second"] == "true" and named[1]["cur_word_w2v0"] == "1.0"
     truth = [(s, i, [float(x), 1.0], x) for s in range(40) for i, x in enumerate([0, s % 2, 1, 0])]
     x = spark.createDataFrame(truth, "sent int, pos int, features array<double>, tag int")
     found = {r.sent: r.tags for r in tagger.train_tagger(x).tags(x.drop("tag")).collect()}
