@@ -234,6 +234,49 @@ def test_lines_that_also_occur_alone_hide_no_passage(spark):
     assert all(any(d == doc and o == first and a <= 40 and b >= 100 for d, a, b, o in got) for doc, first in ((len(texts) - 2, n), (len(texts) - 1, n + 1)))
 
 
+def test_passage_after_a_long_one(spark):
+    from refrain.llm.substring_dedup import passages, remove_passages
+
+    one, two = prose(400, 801), prose(90, 802)
+    d = spark.createDataFrame([(i, f"{prose(20, 810 + i)} {one} {prose(158, 820 + i)} {two} {prose(20, 830 + i)}") for i in range(2)], "doc_id long, text string")
+    found = passages(d)
+    got = [(r.start, r.end) for r in found.collect()]
+    assert len(got) == 2 and all(any(a <= x and b >= y for a, b in got) for x, y in ((20, 420), (578, 668)))
+    assert two not in {r.doc_id: r.text for r in remove_passages(d, found).collect()}[1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_exact_run_of_fifty_words_is_found(spark, seed):
+    """Documents put together from pieces, some in very many of them, against all runs of 50 words; also a periodic one."""
+    from refrain.llm.substring_dedup import passages
+
+    r = random.Random(seed)
+    pool = [prose(r.randint(52, 110), 9000 + 100 * seed + i) for i in range(40)]
+    texts = []
+    for i in range(130):
+        parts = [prose(r.randint(10, 60), 10**6 * seed + 10 * i + j) for j in range(3)]
+        if r.random() < 0.6:
+            parts.insert(r.randrange(4), pool[0])
+        for _ in range(r.randint(0, 2)):
+            x = pool[min(39, int(r.expovariate(0.15)))].split(" ")
+            cut = r.randint(0, 20)
+            parts.insert(r.randrange(len(parts) + 1), " ".join(x[cut:] if r.random() < 0.5 else x[: len(x) - cut]))
+        texts.append(" ".join(parts))
+    texts += ["ha ho " * 60, "so ho ha " * 5 + "ha ho " * 80, texts[3], edited(texts[4], 70, 3)]
+    found = collections.defaultdict(set)
+    for x in passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert x.other < x.doc and x.end - x.start >= 50 and x.matches >= 0.8 * max(x.end - x.start, x.other_end - x.other_start)
+        found[x.doc].update(range(x.start, x.end))
+    first, missed, runs = {}, 0, 0
+    for i, t in enumerate(texts):
+        words = t.split()
+        for k in range(len(words) - 49):
+            if first.setdefault(tuple(words[k : k + 50]), i) != i:
+                runs += 1
+                missed += not set(range(k, k + 50)) <= found[i]
+    assert runs > 1000 and missed == 0
+
+
 def repeats(a, b):
     """Brute force: whether some diagonal holds 50 words or more at identity 0.8 (a longer one holds one of 50 to 99 words)."""
     import numpy as np
