@@ -11,12 +11,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
+from refrain.functions.stem import stem
+from refrain.functions.text import STOP_WORDS
+
 _INT, _WORDS = Y.IntegerType(), Y.ArrayType(Y.StringType())
 _PLACE = Y.StructType([*(Y.StructField(c, _INT) for c in ("distance", "start", "end")), Y.StructField("tokens", _WORDS)])
 _OUTCOME = Y.StructType([Y.StructField("outcome", Y.StringType()), Y.StructField("distance", _INT), Y.StructField("span", _WORDS)])
 _PAIR = Y.StructType([Y.StructField("text", _WORDS), Y.StructField("pattern", _WORDS)])
 
 STAR = "*"
+_STOP = frozenset(STOP_WORDS)
 
 
 def levenshtein(a: Column, b: Column) -> Column:
@@ -255,8 +259,6 @@ def edit_distance(a: list[str], b: list[str]) -> int:
 
 def best_window_distance(a: list[str], b: list[str]) -> int:
     """M2: over stems: the least edit distance of a and a window of b as long as a; of the whole b, if a is longer."""
-    from refrain.functions.stem import stem
-
     a, b = [stem(t) for t in a], [stem(t) for t in b]
     if len(a) > len(b):
         return edit_distance(a, b)
@@ -296,11 +298,7 @@ def rule(pattern_size: int, text_size: int, bare_size: int, distance: int) -> st
 
 def bare_stems(words: list[str]) -> tuple[list[str], list[int]]:
     """Stems of the words that are no stop words, and their places."""
-    from refrain.functions.stem import stem
-    from refrain.functions.text import STOP_WORDS
-
-    stop = frozenset(STOP_WORDS)
-    places = [i for i, t in enumerate(words) if t not in stop]
+    places = [i for i, t in enumerate(words) if t not in _STOP]
     return [stem(words[i]) for i in places], places
 
 
@@ -408,20 +406,3 @@ def contained(words: list[str], values: list[float], cand: list[str], cap: float
         else:
             missed.append(min(v, cap))
     return found, missed
-
-
-_NUMBERS = Y.ArrayType(Y.DoubleType())
-
-
-@F.pandas_udf(Y.StructType([Y.StructField(c, _NUMBERS) for c in ("numbers", "pattern_found", "pattern_missed", "anchor_found", "anchor_missed")]))
-def pair_measures(pattern: pd.Series, cand: pd.Series, anchor: pd.Series, pattern_idf: pd.Series, anchor_idf: pd.Series) -> pd.DataFrame:
-    """pair_numbers on columns with budgets 0 to 3, and M11 of pattern and anchor with idfs of 10 at most; equal windows of a batch are measured once."""
-    known: dict[tuple, tuple] = {}
-    out = []
-    for row in zip(pattern, cand, anchor, pattern_idf, anchor_idf, strict=True):
-        key = tuple(map(tuple, row))
-        if key not in known:
-            p, c, a, pi, ai = map(list, key)
-            known[key] = ([float(x) for x in pair_numbers(p, c, a, (0, 1, 2, 3))], *contained(p, pi, c, 10.0), *contained(a, ai, c, 10.0))
-        out.append(known[key])
-    return pd.DataFrame(out, columns=["numbers", "pattern_found", "pattern_missed", "anchor_found", "anchor_missed"])
