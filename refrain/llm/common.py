@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 FILES_PER_CORE, MERGED, ROWS_PER_TASK = 6, 4, 20_000
 #: Bytes of text that are hashed in one vectorised go.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 _own_dirs: dict[str, str] = {}
@@ -162,7 +162,7 @@ def word_chunks(column: pa.Array, lower: bool = False):
     """(row, hashes, cuts, starts, ends): the words of some rows of the column in a row, from row number `row` on; words cuts[k] to
     cuts[k + 1] are those of row + k; starts and ends are bytes of the row's text.
 
-    Words are runs of bytes other than ASCII white space. Texts are hashed together about a megabyte at a time; a longer text is
+    Words are runs of bytes other than ASCII white space. Texts are hashed together about CHUNK_BYTES at a time; a longer text is
     cut at white space, so that memory follows the longest word and not the longest text.
     """
     data, offsets = text_buffers(column)

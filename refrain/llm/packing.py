@@ -12,6 +12,7 @@ own; an empty table gives an empty table; of the input only the two named column
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from refrain.llm.common import gapless, materialise
 
 #: Distinct words whose ids a Python worker remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 
 
 class CapacityTree:
@@ -92,8 +93,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
+@lru_cache(maxsize=1)
 def _encoder(tokenizer_json: str):
-    """Texts to the bytes of their ids (little-endian unsigned 32-bit); words and their parts are remembered.
+    """Texts to the bytes of their ids (little-endian unsigned 32-bit); words and their parts are remembered. A Python worker makes it once.
 
     A word of letters below U+0250 goes the short way if the tokenizer has the one normaliser and splitter known here: lower case,
     the splitter's pattern, then the tokenizer's own merges. Every other word goes through the whole tokenizer.
