@@ -312,6 +312,41 @@ def test_recall_of_fuzzy_passages(spark):
     assert sum(true.values()) > 170 and sum(got.values()) >= 0.98 * sum(true.values()) and all(got[k] >= 0.9 * true[k] for k in true)
 
 
+def frequent_blocks():
+    """Twenty documents that hold seven blocks of eight words far apart, and two that hold them in a row, one other word between each."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    blocks = [[word() for _ in range(8)] for _ in range(7)]
+    rows = [(i, " ".join(w for b in rng.sample(blocks, 7) for w in [*b, *(word() for _ in range(40))])) for i in range(1, 21)]
+    return rows + [(i, " ".join(w for b in blocks for w in [*b, word()])) for i in (100, 101)]
+
+
+def test_passage_of_frequent_seeds_without_a_first_holder(spark):
+    from refrain.llm.substring_dedup import passages
+
+    found = [r.asDict() for r in passages(spark.createDataFrame(frequent_blocks(), "doc_id long, text string")).collect()]
+    assert [(r["doc"], r["other"]) for r in found] == [(101, 100)]
+    assert found[0]["start"] == 0 and found[0]["end"] >= 62 and found[0]["matches"] == 56
+
+
+def test_stretches_of_one_word_hide_no_passage():
+    import numpy as np
+
+    from refrain.llm.substring_dedup import shared_passages
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        parts = [[int(x)] * int(n) if n > 4 else rng.integers(1000, 2**31, 3).tolist() for x, n in zip(rng.integers(0, 5, 14), rng.integers(1, 25, 14), strict=True)]
+        other = [p[: len(p) - int(len(p) > 8)] for p in parts]
+        a, b = (np.array([w for p in x for w in p], np.uint32) for x in (parts, other))
+        if len(a) < 80:
+            continue
+        got = np.zeros(len(a), bool)
+        for start, end, *_ in shared_passages(a, b, np.ones(len(a), bool)):
+            got[start:end] = True
+        assert got.sum() >= len(a) - 4
+
+
 def test_sentencepiece(docs, empty):
     import public_tokenizers
 
