@@ -329,6 +329,36 @@ def test_passage_of_frequent_seeds_without_a_first_holder(spark):
     assert found[0]["start"] == 0 and found[0]["end"] >= 62 and found[0]["matches"] == 56
 
 
+def holders_in_a_row(n):
+    """frequent_blocks() with n documents that hold all blocks in a row."""
+    rows = frequent_blocks()
+    words = rows[-1][1].split()
+    return rows[:20] + [(100 + i, " ".join(w if k % 9 < 8 else f"w{i}x{k}" for k, w in enumerate(words))) for i in range(n)]
+
+
+def test_rest_of_frequent_seeds_makes_no_row_for_each_pair(spark, monkeypatch):
+    """Every word is found, by a few partners, and no table grows with the square of the group."""
+    from refrain.llm import substring_dedup as s
+
+    made, write = collections.defaultdict(list), s.materialise
+
+    def counted(df, name, *args, **kwargs):
+        out = write(df, name, *args, **kwargs)
+        made[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(s, "materialise", counted)
+    for n in (30, 60):
+        found = [r.asDict() for r in s.passages(spark.createDataFrame(holders_in_a_row(n), "doc_id long, text string")).collect()]
+        held = collections.defaultdict(set)
+        for r in found:
+            assert r["other"] < r["doc"]
+            held[r["doc"]].update(range(r["start"], r["end"]))
+        assert all(len(held[100 + i]) >= 62 for i in range(1, n))
+        assert max(collections.Counter(r["doc"] for r in found).values()) <= 8
+    assert {x: v for x, v in made.items() if len(v) > 1 and v[1] > 60 and v[1] > 2.5 * v[0]} == {}
+
+
 def test_stretches_of_one_word_hide_no_passage():
     import numpy as np
 
