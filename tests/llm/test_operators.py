@@ -377,6 +377,106 @@ def test_stretches_of_one_word_hide_no_passage():
         assert got.sum() >= len(a) - 4
 
 
+def window_by_seeds(a, b, at, there, min_words, identity, k=4):
+    """longest_window() seed by seed, on plain lists."""
+    from refrain.llm.substring_dedup import _gap
+
+    x, y = at[0], there[0]
+    less = min(x, y, min_words)
+    path = [(x - less + i, y - less + i, int(a[x - less + i] == b[y - less + i]), True) for i in range(less)]
+    for p, o in [*zip(at, there, strict=True), (None, None)]:
+        closing = p is None
+        if closing:
+            more = min(len(a) - x, len(b) - y, min_words)
+            p, o = x + more, y + more
+        step = max(x - p, y - o, 0)
+        if step >= k:
+            continue
+        p, o = p + step, o + step
+        same = p - x == o - y
+        for c in range(max(p - x, o - y)):
+            hit = int(a[x + c] == b[y + c]) if same else _gap(a[x:p], b[y:o]) * (c == 0)
+            path.append((min(x + c, p), min(y + c, o), hit, same or c == 0))
+        n = 0 if closing else min(k - step, len(a) - p, len(b) - o)
+        path += [(p + i, o + i, int(a[p + i] == b[o + i]), True) for i in range(n)]
+        x, y = p + n, o + n
+    path.append((x, y, 0, True))
+    got = [0]
+    for *_, hit, _ in path[:-1]:
+        got.append(got[-1] + hit)
+    best = (0, 0, 0)
+    for j in range(len(path)):
+        starts = [i for i in range(j + 1) if path[i][3] and got[j] - got[i] >= identity * (j - i) - 1e-9]
+        if path[j][3] and starts and j - starts[0] > best[0]:
+            best = j - starts[0], starts[0], j
+    _, i, j = best
+    out = path[i][0], path[j][0], path[i][1], path[j][1], got[j] - got[i]
+    return out if min(out[1] - out[0], out[3] - out[2]) >= min_words else None
+
+
+def test_seeds_on_one_diagonal_are_laid_at_once():
+    import sys
+
+    import numpy as np
+
+    from refrain.llm.substring_dedup import _scattered, chain, longest_window, shingle_hashes
+
+    rng, seen = np.random.default_rng(3), 0
+    for _ in range(60):
+        a = rng.integers(0, 400, rng.integers(80, 200))
+        b = [w for x in a.tolist() for r in [rng.random()] for w in ([] if r < 0.04 else [x, 7] if r < 0.08 else [9] if r < 0.16 else [x])]
+        a, b = a.astype(np.uint32), np.array(b, np.uint32)
+        h, g = (shingle_hashes(x.astype(np.uint64), 4) for x in (a, b))
+        pos, other = np.nonzero(h[:, None] == g[None, :])
+        chains = chain(pos, other)
+        for c in chains + _scattered(pos, other, chains):
+            if len(c) > 1:
+                got = longest_window(a, b, pos[c], other[c], 50, 0.8)
+                assert got == window_by_seeds(a, b, pos[c].tolist(), other[c].tolist(), 50, 0.8)
+                seen += got is not None
+    assert seen > 20
+    # The calls don't grow with the seeds of a diagonal.
+    calls = []
+    for n in (100, 400):
+        a, at, made = np.arange(n, dtype=np.uint32), np.arange(n - 4), []
+        sys.setprofile(lambda frame, event, arg, made=made: made.append(1) if event == "c_call" else None)
+        longest_window(a, a, at, at, 50, 0.8)
+        sys.setprofile(None)
+        calls.append(len(made))
+    assert calls[1] == calls[0]
+
+
+def test_open_keys_need_no_contexts_and_no_table(spark, monkeypatch):
+    import pyarrow as pa
+
+    from refrain.llm import substring_dedup as s
+
+    batch = pa.record_batch([pa.array([3, 4]), pa.array([prose(300, 5), None])], names=["doc", "text"])
+    (full,), (short,) = (list(s._each_seed([batch], n)) for n in (50, None))
+    assert short[2] is None and all((x == y).all() for i, (x, y) in enumerate(zip(full, short, strict=True)) if i != 2)
+    names, write = [], s.materialise
+    monkeypatch.setattr(s, "materialise", lambda df, name, *args, **kwargs: names.append(name) or write(df, name, *args, **kwargs))
+    s.passages(spark.createDataFrame(frequent_blocks(), "doc_id long, text string")).collect()
+    assert "live" in names and "keys" not in names
+
+
+def test_words_within_reach_by_distinct_words():
+    import numpy as np
+
+    from refrain.llm.substring_dedup import _within
+
+    rng = np.random.default_rng(8)
+    for size in (20, 60, 120):
+        a, b = (rng.integers(0, size, n).astype(np.uint32) for n in (300, 60))
+        hit, want = np.isin(a, b), np.zeros(300, bool)
+        for i in range(251):
+            for j in range(i + 50, 301):
+                if hit[i:j].sum() >= 0.8 * (j - i) - 1e-9:
+                    want[i:j] = True
+        for own in (None, np.unique(a, return_inverse=True)):
+            assert (_within(a, np.unique(b), 50, 0.8, own) == want).all()
+
+
 def test_sentencepiece(docs, empty):
     import public_tokenizers
 
