@@ -89,8 +89,24 @@ def part_of(rows: DataFrame, key: str, share: float, seed: str = "0") -> DataFra
     return near.where("_room >= _n").select(*rows.columns).unionByName(cut.select(*rows.columns))
 
 
+#: Positives and negatives of an anchor that meet in one task: parts of so many rows.
+TRIPLET_ROWS, MOST_TASKS = 2_000, 10_000
+
+
 def triplets(pairs: DataFrame, anchor: str = "anchor", cand: str = "cand", label: str = "label") -> DataFrame:
-    """Each positive with each negative of its anchor."""
-    good = pairs.where(F.col(label) == 1).select(anchor, F.col(cand).alias("positive"))
-    bad = pairs.where(F.col(label) == 0).select(anchor, F.col(cand).alias("negative"))
-    return good.join(bad, anchor)
+    """Each positive with each negative of its anchor.
+
+    Both sides of an anchor are dealt over parts by a hash, as many as its rows ask for, and each part of one side meets each part of the other: a task
+    holds a part of a hot anchor, however many pairs it makes. The rows are those of the join; their number is the product of both sides."""
+    sizes = pairs.where(F.col(label).isin(0, 1) & F.col(anchor).isNotNull()).groupBy(anchor).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n")).where("_p > 0 and _n > 0")
+    parts = lambda c: F.ceil(F.col(c) / TRIPLET_ROWS).cast("int")
+    sizes = sizes.select(anchor, parts("_p").alias("_p"), parts("_n").alias("_n"))
+    known = pairs.where(F.col(label).isin(0, 1)).join(sizes, anchor).withColumn("_hash", F.xxhash64(cand))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    good = known.where(F.col(label) == 1).select(anchor, F.col(cand).alias("positive"), F.pmod("_hash", "_p").cast("int").alias("_i"), every("_n").alias("_j"))
+    bad = known.where(F.col(label) == 0).select(anchor, F.col(cand).alias("negative"), every("_p").alias("_i"), F.pmod("_hash", "_n").cast("int").alias("_j"))
+    # Tasks for the pairs, not for the bytes that make them: small inputs aren't put together again.
+    met = sizes.agg(F.sum(F.col("_p").cast("long") * F.col("_n"))).first()[0] or 0
+    tasks = max(6 * pairs.sparkSession.sparkContext.defaultParallelism, min(met, MOST_TASKS))
+    keys = [anchor, "_i", "_j"]
+    return good.repartition(tasks, *keys).join(bad.repartition(tasks, *keys).hint("shuffle_hash"), keys).select(anchor, "positive", "negative")

@@ -282,3 +282,18 @@ def test_pair_vector_values(spark):
         want = [M.approximate_place(c, p, True)[0] / len(p), M.approximate_place(c, a, True)[0] / len(a), *hot(len(p), 14), *hot(len(a), 14), *contained(p, pi, c), *contained(a, ai, c)]
         want += [f(w, c, r) / len(p) for f in (M.run_with_wildcards, M.subsequence_with_wildcards) for w in (p, a) for r in range(4)]
         assert len(want) == len(got[i]) == 122 and all(abs(x - y) < 1e-9 for x, y in zip(want, got[i]))
+
+
+def test_triplets_of_a_hot_anchor_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(splits, "TRIPLET_ROWS", 10, raising=False)
+    rows = [("a", i, int(i % 3 > 0)) for i in range(120)] + [("b", 500 + i, i % 2) for i in range(4)] + [("c", 900, 1), (None, 901, 1), (None, 902, 0), ("a", 1, 1)]
+    pairs = spark.createDataFrame(rows, "anchor string, cand long, label int")
+    found = splits.triplets(pairs)
+    want = sorted((a, p, n) for a, p, y in rows for b, n, z in rows if a and a == b and y == 1 and z == 0)
+    assert sorted(map(tuple, found.collect())) == want and found.columns == ["anchor", "positive", "negative"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = splits.triplets(pairs).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(tasks) < 0.6 * len(want)
