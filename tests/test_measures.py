@@ -124,3 +124,9 @@ def test_empty_arrays(spark):
 def test_stem():
     words = {"caresses": "caress", "ponies": "poni", "running": "run", "relational": "relat", "hopeful": "hope", "sky": "sky", "happy": "happi", "agreed": "agre", "falling": "fall", "adjustment": "adjust"}
     assert {w: stem(w) for w in words} == words
+
+
+def test_stem_arrays_equal_plain_stems(spark):
+    rows = [(["running", "the", "dogs", "running"],), ([],), (["the", "of"],), (["ponies"],)]
+    got = spark.createDataFrame(rows, "w array<string>").coalesce(1).select(M.bare_stem_array("w").alias("s")).collect()
+    assert [r.s for r in got] == [M.bare_stems(w)[0] for w, in rows]
