@@ -297,3 +297,21 @@ def test_triplets_of_a_hot_anchor_are_dealt_out(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert max(tasks) < 0.6 * len(want)
+
+
+def test_tagger_is_fitted_on_a_table_of_its_own(spark, monkeypatch):
+    from refrain import queries as Q
+    from refrain.operators import tagger
+
+    read = []
+
+    def fit(rows):
+        read.extend(rows.inputFiles())
+        raise InterruptedError
+
+    monkeypatch.setattr(tagger, "train_tagger", fit)
+    try:
+        Q.queries()["tagged_patterns"](spark, "/root/testdata/sf0.001")
+    except InterruptedError:
+        pass
+    assert read and not any("documents.parquet" in f for f in read)
